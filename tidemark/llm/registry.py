@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, lm, quality, toxicity
+from tidemark.llm import decontaminate, langid, lm, paragraphs, quality, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_simhash": simhash.op2_simhash,
+        "op3_substring_dedup": paragraphs.op3_substring_dedup,
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_language_id": langid.op8_language_id,
         "op9_lm_scoring": lm.op9_lm_scoring,
