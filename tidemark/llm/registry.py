@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, langid, lm, paragraphs, quality, simhash, toxicity
+from tidemark.llm import decontaminate, fingerprints, langid, lm, mixing, paragraphs, quality, simhash, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,11 +15,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": simhash.op2_simhash,
         "op3_substring_dedup": paragraphs.op3_substring_dedup,
         "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
+        "op6_url_filter": urls.op6_url_filter,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_language_id": langid.op8_language_id,
         "op9_lm_scoring": lm.op9_lm_scoring,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": urls.op6_sql(), "op10_mixing": mixing.OP10_SQL}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, remainder, table
+from tidemark.llm.common import map_batches, remainder, small_batches, table
 
 TOKEN = re.compile(r"\w+")
 Z = 2.33
@@ -191,7 +191,7 @@ def passages(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
         model = shared.value
         for batch in batches:
             score, count, spans = [], [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in batch.column(len(keep)).to_pylist():
                 words = TOKEN.findall((text or "").lower())
                 best, found = best_segment(words, model)
                 significant = [{"first": a, "last": b, "score": s} for a, b, s in found if model.surprise(s, len(words)) > 2.9957]
@@ -207,11 +207,28 @@ def passages(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(keep)) + ", score double, predicted int, n_passages int, passages array<struct<first:long,last:long,score:double>>"
-    # the text goes last, so a kept text and the scanned one don't clash
-    wide = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("scanned"))
+    # numbered names: kept columns may have any name, the text's too
+    wide = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("scanned"))
     return map_batches(wide, scan, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted", "n_passages", "passages")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with the columns of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def scan(batches):
+        model = shared.value
+        for batch in batches:
+            keep = []
+            for text in batch.column(at).to_pylist():
+                words = TOKEN.findall((text or "").lower())
+                keep.append(model.probability(best_segment(words, model)[0], len(words)) < 0.5)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return small_batches(docs).mapInArrow(scan, docs.schema)
+
+
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").filter(remainder(5) > 0)
 
