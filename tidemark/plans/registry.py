@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import star
+from tidemark.plans import star, texts
 
-_ENTRIES = [*star.ENTRIES]
+_ENTRIES = [*star.ENTRIES, *texts.ENTRIES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
