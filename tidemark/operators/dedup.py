@@ -6,15 +6,18 @@ is similar enough; chains are resolved by rounds over staged verdicts, never on
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from tidemark.functions import text as tx
-
 PERMUTATIONS, BANDS, PRIME = 128, 16, (1 << 31) - 1
+TOKEN, URL = re.compile(r"[a-z0-9][a-z0-9+#.\-_/]*"), re.compile(r"https?://\S+")
 
 
 def _coefficients(seed: int = 0x5EED) -> tuple[np.ndarray, np.ndarray]:
@@ -22,22 +25,28 @@ def _coefficients(seed: int = 0x5EED) -> tuple[np.ndarray, np.ndarray]:
     return draw.integers(1, PRIME, PERMUTATIONS, dtype=np.uint64), draw.integers(0, PRIME, PERMUTATIONS, dtype=np.uint64)
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def signature(hashes: pd.Series) -> pd.Series:
-    """128 minima of linear permutations of 31-bit hashes; empty for a record without tokens."""
+def minima(hashes: np.ndarray) -> list[int]:
+    """128 minima of linear permutations of 31-bit hashes; empty for none."""
+    if not len(hashes):
+        return []
     a, b = _coefficients()
+    return ((hashes.astype(np.uint64)[:, None] * a + b) % np.uint64(PRIME)).min(axis=0).astype(np.int64).tolist()
 
-    def one(values) -> list[int]:
-        if values is None or len(values) == 0:
-            return []
-        h = np.asarray(values, dtype=np.int64).astype(np.uint64) & np.uint64(PRIME)
-        return ((h[:, None] * a + b) % np.uint64(PRIME)).min(axis=0).astype(np.int64).tolist()
 
-    return hashes.map(one)
+def shingle_hashes(value: str | None, size: int = 5) -> np.ndarray:
+    """31-bit hashes of the distinct token runs of a text."""
+    import xxhash
 
+    found = (t.strip("._-/") for t in TOKEN.findall(URL.sub(" ", (value or "").lower())))
+    tokens = [t for t in found if t]
+    runs = set(tokens) if len(tokens) <= size else {" ".join(tokens[i : i + size]) for i in range(len(tokens) - size + 1)}
+    return np.array([xxhash.xxh64_intdigest(r) & PRIME for r in runs], dtype=np.uint64)
 
-def shingle_hashes(c: Column, size: int = 5) -> Column:
-    return F.transform(tx.shingles(tx.tokenize(c), size), lambda s: F.xxhash64(s).bitwiseAND(F.lit(PRIME)))
+
+@F.pandas_udf(ArrayType(LongType()))
+def signature(values: pd.Series) -> pd.Series:
+    """MinHash signature of a text; arrays of lambdas can't be vectorised in the JVM, an Arrow batch can in NumPy."""
+    return values.map(lambda v: minima(shingle_hashes(v)))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -88,6 +97,14 @@ def exact_verdicts(records: DataFrame) -> DataFrame:
     return out.select(*records.columns, kind.alias("kind"), of.alias("duplicate_of"))
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder of spark.checkpoint.dir; where that is unset, as in tests, in one of our own."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tidemark-checkpoint"))
+    return df.checkpoint()
+
+
 def greedy(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, duplicate_of, score): records with an accepted earlier neighbour; the best scoring one, then the earliest.
 
@@ -101,7 +118,7 @@ def greedy(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         told = state.groupBy(F.col("later").alias("id")).agg(F.bool_or(~F.coalesce("dup", F.lit(True))).alias("has"), F.bool_and(F.coalesce("dup", F.lit(False))).alias("free"))
         new = told.filter("has OR free").select("id", F.col("has").alias("dup"))
         base = nodes.join(pairs.select(F.col("later").alias("id")), "id", "left_anti").withColumn("dup", F.lit(False))
-        new = base.unionByName(new).checkpoint()
+        new = _checkpointed(base.unionByName(new))
         if new.count() == verdict.count():
             verdict = new
             break
@@ -114,7 +131,7 @@ def greedy(pairs: DataFrame, rounds: int = 50) -> DataFrame:
 def dedup(records: DataFrame, threshold: float = 0.85, bands: int = BANDS) -> DataFrame:
     """Records (id, ord, natural_key, url_fingerprint, content_hash, text) with kind, duplicate_of and score."""
     exact = exact_verdicts(records)
-    unique = exact.filter("kind IS NULL").select("id", "ord", signature(shingle_hashes(F.col("text"))).alias("sig"))
+    unique = exact.filter("kind IS NULL").select("id", "ord", signature(F.col("text")).alias("sig"))
     near = greedy(near_pairs(unique, threshold, bands)).withColumnRenamed("duplicate_of", "_of")
     joined = exact.join(near, "id", "left")
     return joined.withColumn("kind", F.coalesce("kind", F.when(F.col("_of").isNotNull(), "near"))).withColumn("duplicate_of", F.coalesce("duplicate_of", "_of")).drop("_of")
