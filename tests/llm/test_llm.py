@@ -161,29 +161,58 @@ def test_keep_one(spark, folder):
 # ---- passages ---------------------------------------------------------------------------------------
 
 
+def slow_windows(words):
+    """Windows of a line by the definition: from a sentence's start to the first end of a sentence 50 words on or more."""
+    ends = [k + 1 for k, w in enumerate(words) if w.endswith(".")]
+    ends = sorted({*ends, len(words)})
+    out = []
+    for s in [0, *ends[:-1]]:
+        stop = next((e for e in ends if e - s >= 50), None)
+        if stop is not None:
+            out.append((s, stop))
+    return out
+
+
 def test_passages_against_brute_force(spark, folder):
     docs = read(spark, folder)
-    got = {(r.doc_id, r.pos): (r.keeper, r.kept) for r in paragraphs.repeated(docs).collect()}
-    every = [(r.doc_id, k, tuple(line.lower().split())) for r in docs.distinct().collect() if r.doc_id is not None and r.text for k, line in enumerate(r.text.split("\n")) if len(line.split()) >= 40]
-    sets = [{w[i : i + 5] for i in range(len(w) - 4)} for _, _, w in every]
-    label = list(range(len(every)))
+    got = {(r.doc_id, r.pos, r["first"], r.stop, r.kind): (r.keeper, r.kept) for r in paragraphs.repeated(docs).collect()}
+    lines = [(r.doc_id, k, tuple(line.lower().split())) for r in docs.distinct().collect() if r.doc_id is not None and r.text for k, line in enumerate(r.text.split("\n")) if len(line.split()) >= 40]
+    sets = [{w[i : i + 5] for i in range(len(w) - 4)} for _, _, w in lines]
+    label = list(range(len(lines)))
     changed = True
     while changed:
         changed = False
-        for i in range(len(every)):
+        for i in range(len(lines)):
             for j in range(i):
                 if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                     label[i] = label[j] = min(label[i], label[j])
                     changed = True
     groups = defaultdict(set)
-    for (doc, _, _), c in zip(every, label, strict=True):
-        groups[c].add(doc)
-    expected = {(d, k): (min(groups[c]), d == min(groups[c])) for (d, k, _), c in zip(every, label, strict=True) if len(groups[c]) > 1}
-    assert got == expected and len(expected) > 10
-    cleaned = {(r.doc_id, r.text) for r in paragraphs.dedup(docs).collect()}
+    every = [((d, k, 0, len(w), "paragraph"), c) for (d, k, w), c in zip(lines, label, strict=True)]
+    every += [((d, k, a, b, "window"), w[a:b]) for d, k, w in lines for a, b in slow_windows(w)]
+    for (d, *_), c in every:
+        groups[c].add(d)
+    expected = {key: (min(groups[c]), key[0] == min(groups[c])) for key, c in every if len(groups[c]) > 1}
+    assert got == expected and sum(k[4] == "paragraph" for k in expected) > 10
+    changed_docs = {k[0] for k, (_, kept) in expected.items() if not kept}
+    after = {(r.doc_id, r.text, r.n_chars) for r in paragraphs.dedup(docs).collect()}
     for r in docs.collect():
-        lines = None if r.text is None else [x for k, x in enumerate(r.text.split("\n")) if expected.get((r.doc_id, k), (0, True))[1]]
-        assert (r.doc_id, None if lines is None else "\n".join(lines)) in cleaned
+        if r.doc_id not in changed_docs:
+            assert (r.doc_id, r.text, r.n_chars) in after
+    assert all(n == (None if t is None else len(t)) for d, t, n in after if d in changed_docs)
+
+
+def test_a_passage_inside_longer_lines(spark):
+    passage = ". ".join(prose(17, random.Random(9)).capitalize() for _ in range(4)) + "."
+    texts = ["Alone.\n" + passage, "First words. " + passage + " Last words here.", prose(70, random.Random(10)) + "."]
+    docs = table(spark, texts)
+    got = {r.doc_id: r.text for r in paragraphs.dedup(docs).collect()}
+    assert got[0] == texts[0] and got[2] == texts[2] and got[1] == "First words.  Last words here."
+
+
+def test_cut():
+    text = b"a b c d\n e f \ng"
+    assert paragraphs.cut(text, [{"pos": 0, "first": 1, "stop": 3}, {"pos": 0, "first": 2, "stop": 3}, {"pos": 1, "first": 0, "stop": 2}]) == b"a  d\ng"
 
 
 def test_tuning_reaches_the_recall():
@@ -200,6 +229,7 @@ def test_a_large_group_of_near_passages(spark, block):
         w[i] = f"edit{i}"
         texts.append(" ".join(w))
     got = paragraphs.repeated(table(spark, texts), block=block).collect()
+    got = [r for r in got if r.kind == "paragraph"]
     assert len(got) == 40 and {r.cluster for r in got} == {got[0].cluster} and sum(r.kept for r in got) == 1
 
 
