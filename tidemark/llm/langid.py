@@ -117,9 +117,12 @@ def fit(rows: DataFrame, per_language: int = 1500) -> Model:
     """Learn from ``rows`` (doc_id, text, lang), all of which may train."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = document_frequencies(rows)
-    # the limit on row_number is applied before the shuffle too, so a hot language isn't gathered
-    ids = rows.select("doc_id", "lang", F.xxhash64("text").alias("h")).filter("doc_id is not null")
-    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))).filter(F.col("k") <= per_language)
+    ids = rows.select("doc_id", "lang", F.xxhash64("text").alias("h")).filter("doc_id is not null").withColumn("u", F.xxhash64("doc_id"))
+    # the lowest hashes of a language lie under a few times its share, so only that many rows are ranked
+    share = ids.groupBy("lang").agg(F.count("*").alias("n")).withColumn("most", F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n")))
+    low = ids.join(share, "lang").filter((F.col("u").cast("double") + 2.0**63) / 2.0**64 <= F.col("most"))
+    order = Window.partitionBy("lang").orderBy("u", "doc_id", "h")
+    ids = low.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
     # at most per_language ids of each language: a proven bound for the broadcast
     sample = rows.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
     idf = np.log((1 + n) / (1 + df)) + 1
