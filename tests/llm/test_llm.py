@@ -445,6 +445,64 @@ def test_tree_is_a_distribution():
     assert np.allclose(lm.log_probabilities(codes, seen, tree), tree.predict(codes))
 
 
+def slow_ctw(train: list[bytes], text: bytes, depth: int) -> float:
+    """log10 of the probability of ``text`` by context-tree weighting that keeps every context, node by node."""
+    pieces = lambda t: bytes([lm.END]) * depth + b" ".join(t.lower().split()) + bytes([lm.END])
+    counts = defaultdict(lambda: [0, 0])
+    for t in map(pieces, train):
+        for i in range(depth, len(t)):
+            for d in range(depth + 1):
+                for bit in range(8):
+                    counts[t[i - d : i], (t[i] | 256) >> (8 - bit)][t[i] >> (7 - bit) & 1] += 1
+    children = defaultdict(list)
+    for context, prefix in counts:
+        if context:
+            children[context[1:], prefix].append((context, prefix))
+    estimate = {k: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for k, (a, b) in counts.items()}
+    own, mixed = {}, {}
+    for k in sorted(counts, key=lambda k: -len(k[0])):
+        below = sum(mixed[c] for c in children[k])
+        mixed[k] = estimate[k] if len(k[0]) == depth else float(np.logaddexp(estimate[k], below)) - math.log(2)
+        own[k] = 1.0 if len(k[0]) == depth else math.exp(estimate[k] - math.log(2) - mixed[k])
+    total, t = 0.0, pieces(text)
+    for i in range(depth, len(t)):
+        for bit in range(8):
+            p, fresh = 0.5, True
+            for d in range(depth, -1, -1):
+                k = (t[i - d : i], (t[i] | 256) >> (8 - bit))
+                if k in counts:
+                    a, b = counts[k]
+                    w, fresh = 1.0 if fresh else own[k], False
+                    p = w * ((b if t[i] >> (7 - bit) & 1 else a) + 0.5) / (a + b + 1) + (1 - w) * p
+            total += math.log10(p)
+    return total
+
+
+@pytest.mark.parametrize(("depth", "head_grams", "chunk"), [(5, 1_000_000, 200_000), (5, 100, 300), (1, 0, 50)])
+def test_every_context_counts(spark, depth, head_grams, chunk):
+    rng = random.Random(21)
+    texts = [prose(40, rng) + " été 漢字" for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate([*texts, texts[3], "zzz unseen QQ " + texts[0][:50], None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs, docs.filter("doc_id < 12"), depth, head_grams=head_grams, chunk=chunk).collect()}
+    train = [t.encode() for t in texts]
+    for i, t in rows:
+        assert got[i] == pytest.approx(slow_ctw(train, (t or "").encode(), depth), abs=1e-6)
+
+
+def test_contexts_beyond_the_old_cap_count(spark):
+    """More than 80 000 contexts of depth 5, each met once: all of them are known to the model."""
+    rng = random.Random(22)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(80)) for _ in range(160)]
+    codes = lm.stream([t.encode() for t in texts], 5)[0]
+    assert len(np.unique(codes >> np.uint64(8))) > 80_000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tree = lm.subtrees(*np.unique(codes, return_counts=True), 0, 5)
+    got = {r.doc_id: r.score for r in lm.score(docs, docs, head_grams=50_000).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(tree.predict(lm.stream([t.encode()], 5)[0]).sum(), rel=1e-9)
+
+
 # ---- mixing -----------------------------------------------------------------------------------------
 
 

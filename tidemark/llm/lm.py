@@ -7,9 +7,11 @@ the Krichevsky-Trofimov estimate of its two counts, and a node at depth d mixes
 the product of its children at depth d + 1. Given the training counts the mixture predicts bit by bit
 along the path of contexts; contexts that training never met are left out of the path.
 
-Counting is distributed: tasks count (DEPTH + 1)-grams of bytes, Spark sums them. The table that goes
-to the scoring tasks is bounded by ``max_contexts`` contexts of each depth (the most frequent; counts of
-the others still are in all shallower depths), as memory-bounded context trees are.
+Counting is distributed: tasks count (DEPTH + 1)-grams of bytes, Spark sums them. No context is left out:
+grams are dealt by their last CUT context bytes, so every task holds whole subtrees from depth CUT on, and
+only the nodes above (at most 256 contexts) come to the driver. A gram's probability is that of its subtree
+mixed with those nodes. The ``head_grams`` most frequent grams are looked up in place while texts are read,
+all others are scored by the subtrees and joined.
 
 The unigram base needs the count of every token: the ``head`` most frequent tokens (a bounded table)
 are looked up in place, all others by a join on the token's hash.
@@ -32,6 +34,10 @@ from tidemark.llm.common import map_batches, remainder, stage, table, text_bytes
 
 DEPTH = 5
 END = 0x0A
+#: Subtrees start at this depth; the tree above has at most 256 ** (CUT - 1) contexts.
+CUT = 2
+#: Grams that a task gathers before it builds the subtrees of the whole contexts among them.
+CHUNK = 200_000
 #: Bytes gathered before one count of distinct grams.
 FLUSH = 6_000_000
 #: Distinct grams that a task holds before it hands them over.
@@ -70,37 +76,51 @@ def nodes_of(codes: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Tree:
-    """Per depth: sorted node keys, the node's own estimate of a one, and the weight of that estimate."""
+    """Per depth from ``first`` on: sorted node keys, the node's own estimate of a one, and the weight of that estimate.
+
+    ``mixed`` is the natural logarithm of what the nodes of depth ``first`` mix to.
+    """
 
     keys: list[np.ndarray]
     one: list[np.ndarray]
     own: list[np.ndarray]
+    first: int
+    mixed: np.ndarray
 
-    def predict(self, codes: np.ndarray, chunk: int = 200_000) -> np.ndarray:
-        """log10 of the probability of the symbol of each gram given its context."""
+    def predict(self, codes: np.ndarray, above: Tree | None = None, chunk: int = 200_000) -> np.ndarray:
+        """log10 of the probability of the symbol of each gram given its context; ``above`` is the tree over subtrees."""
         if len(codes) > chunk:
-            return np.concatenate([self.predict(codes[i : i + chunk]) for i in range(0, len(codes), chunk)])
+            return np.concatenate([self.predict(codes[i : i + chunk], above) for i in range(0, len(codes), chunk)])
         out = np.zeros(len(codes))
         for bit in range(8):
             p = np.full(len(codes), 0.5)
             fresh = np.ones(len(codes), dtype=bool)
-            for d in range(len(self.keys) - 1, -1, -1):
-                key, taken = nodes_of(context(codes, d), bit)
-                at = np.minimum(np.searchsorted(self.keys[d], key), max(len(self.keys[d]) - 1, 0))
-                if not len(self.keys[d]):
-                    continue
-                seen = self.keys[d][at] == key
-                ones = self.one[d][at].astype(np.float64)
-                own = np.where(taken == 1, ones, 1 - ones)
-                w = np.where(fresh, 1.0, self.own[d][at])
-                p = np.where(seen, w * own + (1 - w) * p, p)
-                fresh &= ~seen
+            for tree in (self,) if above is None else (self, above):
+                for d in range(len(tree.keys) - 1, -1, -1):
+                    if not len(tree.keys[d]):
+                        continue
+                    key, taken = nodes_of(context(codes, tree.first + d), bit)
+                    at = np.minimum(np.searchsorted(tree.keys[d], key), len(tree.keys[d]) - 1)
+                    seen = tree.keys[d][at] == key
+                    ones = tree.one[d][at]
+                    own = np.where(taken == 1, ones, 1 - ones)
+                    w = np.where(fresh, 1.0, tree.own[d][at])
+                    p = np.where(seen, w * own + (1 - w) * p, p)
+                    fresh &= ~seen
             out += np.log10(p)
         return out
 
 
-def build_tree(grams: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """``grams``: for each depth the codes and counts of the kept contexts."""
+def parents(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The nodes one byte shallower than nodes of ``depth``: the same symbol bits, the context without its oldest byte."""
+    return (keys & np.uint64(255)) | (((keys >> np.uint64(8)) & np.uint64((1 << (8 * (depth - 1))) - 1)) << np.uint64(8))
+
+
+def build_tree(grams: list[tuple[np.ndarray, np.ndarray]], first: int = 0, rest: tuple[np.ndarray, np.ndarray] | None = None) -> Tree:
+    """``grams``: for each depth from ``first`` on the codes and counts of all contexts.
+
+    Where the tree goes on below, ``rest`` has the sorted node keys of the deepest depth and what their children mix to.
+    """
     from math import lgamma, pi
 
     small = np.array([lgamma(k + 0.5) for k in range(4096)])
@@ -129,27 +149,30 @@ def build_tree(grams: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
         zero.append(np.concatenate(z_all)[order])
         one.append(np.concatenate(o_all)[order])
     own: list[np.ndarray] = [np.zeros(0)] * len(grams)
-    below = None
+    below = np.zeros(0)
     for d in range(len(grams) - 1, -1, -1):
         n0, n1 = zero[d], one[d]
         estimate = log_gamma(n0, small, 0.5) + log_gamma(n1, small, 0.5) - log_gamma(n0 + n1, whole, 1.0) - np.log(pi)
-        if below is None:
-            mixed, own[d] = estimate, np.ones(len(n0))
+        if d == len(grams) - 1 and rest is None:
+            below, own[d] = estimate, np.ones(len(n0))
+            continue
+        if d == len(grams) - 1:
+            at, add = np.searchsorted(keys[d], rest[0]), rest[1]
         else:
-            # the parent of a node one byte deeper: the same symbol bits, the context without its oldest byte
-            parent = (keys[d + 1] & np.uint64(255)) | (((keys[d + 1] >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8))
-            at = np.searchsorted(keys[d], parent)
-            rest = np.bincount(at, weights=below, minlength=len(n0))
-            # counts of contexts beyond the bound stay with the node itself, as a child that predicts like it
-            kept = np.bincount(at, weights=zero[d + 1] + one[d + 1], minlength=len(n0))
-            share = np.where(n0 + n1 > 0, 1 - kept / np.maximum(n0 + n1, 1), 0)
-            children = rest + share * estimate
-            mixed = np.logaddexp(estimate, children) - np.log(2)
-            own[d] = np.exp(np.clip(estimate - np.log(2) - mixed, -700, 0))
-            own[d] = np.where(kept > 0, own[d], 1.0)
-        below = mixed
-    ones = [((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32) for n0, n1 in zip(zero, one, strict=True)]
-    return Tree(keys, ones, [w.astype(np.float32) for w in own])
+            at, add = np.searchsorted(keys[d], parents(keys[d + 1], first + d + 1)), below
+        below = np.logaddexp(estimate, np.bincount(at, weights=add, minlength=len(n0))) - np.log(2)
+        own[d] = np.exp(np.clip(estimate - np.log(2) - below, -700, 0))
+    ones = [(n1 + 0.5) / (n0 + n1 + 1) for n0, n1 in zip(zero, one, strict=True)]
+    return Tree(keys, ones, own, first, below)
+
+
+def subtrees(codes: np.ndarray, counts: np.ndarray, first: int, depth: int) -> Tree:
+    """The trees from depth ``first`` on of the grams of whole contexts of that depth."""
+    grams = []
+    for d in range(first, depth + 1):
+        unique, at = np.unique(context(codes, d), return_inverse=True)
+        grams.append((unique, np.bincount(at, weights=counts, minlength=len(unique)).astype(np.int64)))
+    return build_tree(grams, first)
 
 
 class Seen:
@@ -256,27 +279,99 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, depth: int = DEPTH, max_contexts: int = 80_000) -> tuple[Tree, np.ndarray]:
-    """The tree of ``docs``; every context of depth 0 to 2 and the most frequent ``max_contexts`` of each deeper one."""
-    full = stage(gram_counts(docs, depth), "grams")
-    grams = []
-    for d in range(depth + 1):
-        mask = (1 << (8 * (d + 1))) - 1
-        at = full.groupBy(F.col("code").bitwiseAND(F.lit(mask).cast("long")).alias("code")).agg(F.sum("n").alias("n"))
-        ctx = F.shiftrightunsigned("code", 8)
-        if d > 2:
-            contexts = at.groupBy(ctx.alias("ctx")).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "ctx").limit(max_contexts)
-            at = at.withColumn("ctx", ctx).join(contexts.select("ctx"), "ctx", "left_semi").select("code", "n")
-        got = at.toArrow()
-        codes = got["code"].to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(codes)
-        grams.append((codes[order], got["n"].to_numpy()[order].astype(np.int64)))
-    return build_tree(grams), grams[-1][0]
-
-
-def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, max_contexts: int = 80_000, head: int = 60_000) -> DataFrame:
+def dealt(grams: DataFrame, cut: int) -> DataFrame:
+    """Grams (code, n, asked) dealt and sorted by their last ``cut`` context bytes."""
+    last = F.shiftrightunsigned("code", 8).bitwiseAND(F.lit((1 << (8 * cut)) - 1).cast("long"))
+    return grams.select(last.alias("last"), "code", "n", "asked").repartition("last").sortWithinPartitions("last").select("code", "n", "asked")
+
+
+def whole_contexts(batches, cut: int, least: int):
+    """(codes, counts, asked) of dealt grams, ``least`` rows or more at a time, never parting a context of ``cut`` bytes."""
+    waiting, size = [], 0
+
+    def joined():
+        return [np.concatenate(c) for c in zip(*waiting, strict=True)]
+
+    for batch in batches:
+        waiting.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)))
+        size += batch.num_rows
+        if size >= least:
+            rows = joined()
+            last = context(rows[0], cut) >> np.uint64(8)
+            edge = int(np.flatnonzero(last == last[-1])[0])
+            if edge:
+                yield [c[:edge] for c in rows]
+            waiting, size = [tuple(c[edge:] for c in rows)], 0
+    if waiting:
+        yield joined()
+
+
+def tree_above(grams: DataFrame, depth: int, chunk: int) -> Tree:
+    """The tree of the depths under CUT, with what the subtrees of ``grams`` (code, n) mix to."""
+    cut = min(CUT, depth)
+    if not cut:
+        return Tree([], [], [], 0, np.zeros(0))
+
+    def mix(batches):
+        for codes, n, _ in whole_contexts(batches, cut, chunk):
+            tree = subtrees(codes, n, cut, depth)
+            keys, at = np.unique(parents(tree.keys[0], cut), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, weights=tree.mixed))], names=["key", "mixed"])
+
+    sums = map_batches(dealt(grams.withColumn("asked", F.lit(False)), cut), mix, "key long, mixed double")
+    rest = sums.groupBy("key").agg(F.sum("mixed").alias("mixed")).orderBy("key").toArrow()
+    low = grams.groupBy(F.col("code").bitwiseAND(F.lit((1 << (8 * cut)) - 1).cast("long")).alias("code")).agg(F.sum("n").alias("n")).orderBy("code").toArrow()
+    codes, n = low["code"].to_numpy().astype(np.int64).view(np.uint64), low["n"].to_numpy().astype(np.int64)
+    upper = []
+    for d in range(cut):
+        unique, at = np.unique(context(codes, d), return_inverse=True)
+        upper.append((unique, np.bincount(at, weights=n, minlength=len(unique)).astype(np.int64)))
+    return build_tree(upper, 0, (rest["key"].to_numpy().astype(np.int64).view(np.uint64), rest["mixed"].to_numpy()))
+
+
+def gram_logs(grams: DataFrame, above: Tree, depth: int, chunk: int) -> DataFrame:
+    """(code long, log double): log10 of the probability of the grams asked for among ``grams`` (code, n, asked).
+
+    Every gram of training stands there with its count, one that is asked for besides them with the count 0.
+    """
+    cut = min(CUT, depth)
+    shared = grams.sparkSession.sparkContext.broadcast(above)
+
+    def scan(batches):
+        for codes, n, asked in whole_contexts(batches, cut, chunk):
+            wanted = np.unique(codes[asked])
+            if len(wanted):
+                logs = subtrees(codes[n > 0], n[n > 0], cut, depth).predict(wanted, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)), pa.array(logs)], names=["code", "log"])
+
+    return map_batches(dealt(grams, cut), scan, "code long, log double")
+
+
+def least_count(grams: DataFrame, most: int) -> int:
+    """A count that at most ``most`` grams reach, from the numbers of grams by eighths of a power of two."""
+    level = F.floor(F.log2("n") * 8)
+    least, total = 1 << 62, 0
+    for row in grams.groupBy(level.alias("level")).agg(F.count("*").alias("k"), F.min("n").alias("least")).orderBy(F.desc("level")).collect():
+        total += row["k"]
+        if total > most:
+            break
+        least = row["least"]
+    return least
+
+
+def rare_grams(codes: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each of ``n_rows`` texts its distinct ``codes`` and how often it has them; ``rows`` are the texts' places."""
+    order = np.lexsort((codes, rows))
+    codes, rows = codes[order], rows[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(len(codes), 1), bool), (codes[1:] != codes[:-1]) | (rows[1:] != rows[:-1])]))
+    offsets = pa.array(np.searchsorted(rows[new], np.arange(n_rows + 1)), pa.int32())
+    return tuple(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (codes[new].view(np.int64), np.diff(np.append(new, len(codes)))))
+
+
+def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, head: int = 60_000, head_grams: int = 1_000_000, chunk: int = CHUNK) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) by the model and by the unigram base learnt from ``train``.
 
+    ``head``, ``head_grams`` and ``chunk`` bound what is held in memory and don't change the result.
     Returns doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
     """
     spark = docs.sparkSession
@@ -287,20 +382,26 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, max_contexts: i
     top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
     ranked = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
     floor = min(ranked.values(), default=0)
-    tree, known = fit(train, depth, max_contexts)
-    shared = spark.sparkContext.broadcast((tree, known, tree.predict(known), ranked, ends))
+    grams = stage(gram_counts(train, depth), "grams")
+    above = tree_above(grams, depth, chunk)
+    least = least_count(grams, head_grams)
+    got = gram_logs(grams.withColumn("asked", F.col("n") >= least), above, depth, chunk).toArrow()
+    known, values = got["code"].to_numpy().astype(np.int64).view(np.uint64), got["log"].to_numpy()
+    shared = spark.sparkContext.broadcast((known, values, ranked, ends))
 
     def scan(batches):
         import xxhash
 
-        tree, known, values, ranked, ends = shared.value
+        known, values, ranked, ends = shared.value
         seen = Seen(known, values)
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             codes, starts, words = stream(text_bytes(batch), depth)
-            logs = log_probabilities(codes, seen, tree)
+            logs, missing = seen.get(codes)
+            logs[missing] = 0.0
             sums = np.add.reduceat(logs, starts) if len(starts) else np.zeros(0)
             sizes = np.diff(np.append(starts, len(codes)))
+            grams, gram_times = rare_grams(codes[missing], np.searchsorted(starts, missing, "right") - 1, len(starts))
             n_tokens, n_known, head_sum, rare, times = [], [], [], [], []
             for w in words:
                 have = Counter(w)
@@ -321,11 +422,11 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, max_contexts: i
                 times.append(tf)
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(head_sum, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())), pa.array(sums), pa.array(sizes, pa.int64())],
-                names=["doc_id", "n_tokens", "n_known", "head_sum", "rare", "times", "score", "n_bytes"],
+                [ids.cast(pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(head_sum, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())), pa.array(sums), pa.array(sizes, pa.int64()), grams, gram_times],
+                names=["doc_id", "n_tokens", "n_known", "head_sum", "rare", "times", "score", "n_bytes", "grams", "gram_times"],
             )
 
-    schema = "doc_id long, n_tokens long, n_known long, head_sum double, rare array<long>, times array<long>, score double, n_bytes long"
+    schema = "doc_id long, n_tokens long, n_known long, head_sum double, rare array<long>, times array<long>, score double, n_bytes long, grams array<long>, gram_times array<long>"
     first = map_batches(docs.select("doc_id", "text"), scan, schema)
     first = stage(first.withColumn("row", F.monotonically_increasing_id()), "scored")
 
@@ -339,15 +440,19 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, max_contexts: i
     tail = counts.filter(F.col("n") <= floor).mapInArrow(hashed, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     far = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("tf"))
     found = far.join(tail, "h").groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("tail_sum"))
+    open_grams = first.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("code"), F.col("x.gram_times").alias("tf"))
+    asked = open_grams.select("code").distinct().select("code", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+    logs = gram_logs(grams.withColumn("asked", F.lit(False)).unionByName(asked), above, depth, chunk)
+    scored = open_grams.join(logs, "code").groupBy("row").agg(F.sum(F.col("tf") * F.col("log")).alias("gram_sum"))
     denominator = float(np.log10(n_all + n_kinds + 1))
-    joined = first.drop("rare", "times").join(found, "row", "left")
+    joined = first.drop("rare", "times", "grams", "gram_times").join(found, "row", "left").join(scored, "row", "left")
     return joined.select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(denominator)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gram_sum", F.lit(0.0))).alias("score"),
         "n_bytes",
     )
 
