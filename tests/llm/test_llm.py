@@ -210,6 +210,52 @@ def test_a_passage_inside_longer_lines(spark):
     assert got[0] == texts[0] and got[2] == texts[2] and got[1] == "First words.  Last words here."
 
 
+def test_runs_over_lines_and_without_stops(spark):
+    """Runs of 50 words or more against brute force: over line breaks, in short lines, mid-sentence, with other stops."""
+    rng = random.Random(31)
+    a, b, c, d = (prose(n, rng).split() for n in (54, 50, 49, 130))
+    wrapped = lambda words, n: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    texts = [
+        prose(20, rng) + "\n" + wrapped(a, 20) + "\n\n" + prose(5, rng),
+        wrapped(a, 7) + " and " + prose(30, rng),
+        prose(33, rng) + ", " + " ".join(b) + " " + prose(9, rng),
+        "x! " + prose(3, rng) + "\n" + " ".join(b).upper() + " ? " + prose(12, rng),
+        " ".join(c) + " one " + prose(9, rng),
+        "two " + " ".join(c) + " three " + " ".join(d),
+        prose(60, rng) + " " + " ".join(d[:100]) + "\n" + " ".join(d[40:]),
+        None,
+    ]
+    docs = table(spark, texts)
+    docs = docs.unionByName(docs.filter("doc_id = 1"))
+    words = {i: (t or "").lower().split() for i, t in enumerate(texts)}
+    first = {}
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), []).append(i)
+    gone, stays = set(), set()
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            holders = set(first[tuple(w[k : k + 50])])
+            if len(holders) > 1:
+                (stays if min(holders) == i else gone).update((i, p) for p in range(k, k + 50))
+    got = {True: set(), False: set()}
+    for r in paragraphs.runs(docs).collect():
+        sizes = [len(line.split()) for line in texts[r.doc_id].split("\n")]
+        assert r["stop"] <= sizes[r.pos] and r.kept == (r.keeper == r.doc_id)
+        got[r.kept].update((r.doc_id, sum(sizes[: r.pos]) + k) for k in range(r["first"], r["stop"]))
+    assert got == {True: stays, False: gone} and {i for i, _ in gone} == {1, 3, 6}
+    after = {r.doc_id: r.text for r in paragraphs.without(docs, paragraphs.passages(docs)).collect()}
+    assert after[0] == texts[0] and after[2] == texts[2] and after[1].startswith("and ") and " ".join(b).upper()[:20] not in after[3]
+
+
+def test_anchors_meet_in_every_window():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        run = rng.integers(1, 1 << 63, 50, dtype=np.uint64)
+        own = [set(paragraphs.anchors(np.concatenate([rng.integers(1, 1 << 63, n, dtype=np.uint64), run, rng.integers(1, 1 << 63, n + 3, dtype=np.uint64)]))[1].tolist()) for n in (0, 17, 40)]
+        assert own[0] & own[1] & own[2]
+
+
 def test_cut():
     text = b"a b c d\n e f \ng"
     assert paragraphs.cut(text, [{"pos": 0, "first": 1, "stop": 3}, {"pos": 0, "first": 2, "stop": 3}, {"pos": 1, "first": 0, "stop": 2}]) == b"a  d\ng"
