@@ -83,6 +83,11 @@ def test_dedup_kinds(spark):
     assert rates["unique"] == 2
 
 
+def test_greedy_settles_a_long_chain(spark):
+    pairs = spark.createDataFrame([(i + 1, i, 0.9, i) for i in range(54)], "later long, earlier long, score double, ord long")
+    assert {r.id: r.duplicate_of for r in dedup.greedy(pairs).collect()} == {i: i - 1 for i in range(1, 55, 2)}
+
+
 def test_greedy_is_not_transitive(spark):
     pairs = spark.createDataFrame([("b", "a", 0.9, 1), ("c", "b", 0.9, 2), ("d", "c", 0.9, 3)], "later string, earlier string, score double, ord int")
     assert {r.id: r.duplicate_of for r in dedup.greedy(pairs).collect()} == {"b": "a", "d": "c"}

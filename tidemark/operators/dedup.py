@@ -105,15 +105,16 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def greedy(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def greedy(pairs: DataFrame) -> DataFrame:
     """(id, duplicate_of, score): records with an accepted earlier neighbour; the best scoring one, then the earliest.
 
     Settled records leave the table each round: accepted are those without an open earlier neighbour.
+    The earliest open record always settles, so the rounds end, and only when none is open.
     """
     pairs = pairs.persist()
     nodes = pairs.select(F.col("later").alias("id")).union(pairs.select("earlier")).distinct()
     verdict = nodes.join(pairs.select(F.col("later").alias("id")), "id", "left_anti").withColumn("dup", F.lit(False))
-    for _ in range(rounds):
+    while True:
         state = pairs.join(verdict.select(F.col("id").alias("earlier"), "dup"), "earlier", "left")
         told = state.groupBy(F.col("later").alias("id")).agg(F.bool_or(~F.coalesce("dup", F.lit(True))).alias("has"), F.bool_and(F.coalesce("dup", F.lit(False))).alias("free"))
         new = told.filter("has OR free").select("id", F.col("has").alias("dup"))
