@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,3 +127,66 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
         for k in range(size):
             out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : n - size + 1 + k])
     return out
+
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A random number for each byte, the same for A-Z and a-z.
+_BYTE = np.random.default_rng(17).integers(1, 1 << 63, size=256, dtype=np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_BASE = 0x9E3779B97F4A7C15
+_PIECE = 1 << 16
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    out = np.full(max(n, 1), base, dtype=np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out, dtype=np.uint64)
+
+
+_UP, _DOWN = powers(_BASE, 2 * _PIECE), powers(pow(_BASE, -1, 1 << 64), 2 * _PIECE)
+
+
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, firsts) of a string column: a 64-bit hash of each lower-case (A-Z) word of all rows in a row, and
+    the number of words before each row, one more at the end; null has no words.
+
+    A word's hash is a polynomial of its bytes, taken from running sums over pieces of the column's bytes.
+    """
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if not len(column):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        stop = at + _PIECE
+        if stop < len(data):  # on to the next white space or text
+            text = int(offsets[np.searchsorted(offsets, stop)])
+            while stop < text:
+                space = np.flatnonzero(_SPACE[data[stop : min(stop + 4096, text)]])
+                if len(space):
+                    stop += int(space[0])
+                    break
+                stop = min(stop + 4096, text)
+        part = data[at:stop]
+        inside = ~_SPACE[part]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        heads = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, at + len(part))] - at
+        first[heads], last[heads - 1] = inside[heads], inside[heads - 1]
+        a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+        up, down = (_UP, _DOWN) if len(part) <= len(_UP) else (powers(_BASE, len(part)), powers(pow(_BASE, -1, 1 << 64), len(part)))
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+            hashes.append(mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
+        starts.append(a + at)
+        at += len(part)
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)

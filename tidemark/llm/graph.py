@@ -30,22 +30,24 @@ def collision_cells(rows: DataFrame, block: int = 2048) -> DataFrame:
     return dealt.select("key", F.least("b", "p").alias("i"), F.greatest("b", "p").alias("j"), "id")
 
 
-def cell_links(cells: DataFrame, links: Callable[[list[dict]], list[tuple[int, int]]], columns: list[str]) -> DataFrame:
-    """(a long, b long): what ``links`` finds in each cell; ``columns`` are handed to it besides the cell's keys."""
+def cell_links(cells: DataFrame, links: Callable[[list[dict]], list[tuple]], columns: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, ``more``; all long): what ``links`` finds in each cell; ``columns`` are handed to it besides the cell's keys."""
+    names = ["a", "b", *more]
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(len(names))], names=names)
 
     def scan(batches):
-        a, b = [], []
+        found: list[tuple] = []
         for _, rows in groups(batches, ["key", "i", "j"]):
-            for x, y in links(rows):
-                a.append(x)
-                b.append(y)
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            found += links(rows)
+            if len(found) > 50_000:
+                yield batch_of(found)
+                found = []
+        yield batch_of(found)
 
     dealt = cells.select("key", "i", "j", *columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return map_batches(dealt, scan, "a long, b long")
+    return map_batches(dealt, scan, ", ".join(f"{n} long" for n in names))
 
 
 def reach(first: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
