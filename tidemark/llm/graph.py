@@ -18,16 +18,22 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import groups, map_batches, stage, unstage
 
 
-def collision_cells(rows: DataFrame, block: int = 2048) -> DataFrame:
-    """(key, i, j, id) from distinct rows (key long, id long); a cell (key, i, j) has at most 2 * block ids on average."""
-    # a key's content as count and two xors of hashes: keys of equal content need serving once
-    content = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("y"))
-    kept = content.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).alias("g"))
-    met = rows.join(kept, "key").withColumn("b", F.pmod(F.xxhash64("id", F.lit(3)), F.col("g")))
+def collision_cells(rows: DataFrame, block: int = 2048, collapse: bool = True) -> DataFrame:
+    """(key, i, j, id, ...) from rows (key long, id long, ...), distinct in key and id.
+
+    A cell (key, i, j) has at most 2 * block ids on average. Keys of equal content are served once unless ``collapse`` is off.
+    """
+    if collapse:
+        # a key's content as count and two xors of hashes
+        content = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("y"))
+        kept = content.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    else:
+        kept = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = rows.join(kept.select("key", F.ceil(F.col("n") / block).alias("g")), "key").withColumn("b", F.pmod(F.xxhash64("id", F.lit(3)), F.col("g")))
     # one block: one cell; more: a cell for each pair of different blocks
     partners = F.when(F.col("g") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda j: j != F.col("b")))
     dealt = met.withColumn("p", F.explode(partners))
-    return dealt.select("key", F.least("b", "p").alias("i"), F.greatest("b", "p").alias("j"), "id")
+    return dealt.select("key", F.least("b", "p").alias("i"), F.greatest("b", "p").alias("j"), *[c for c in rows.columns if c != "key"])
 
 
 def cell_links(cells: DataFrame, links: Callable[[list[dict]], list[tuple]], columns: list[str], more: tuple[str, ...] = ()) -> DataFrame:
@@ -50,16 +56,20 @@ def cell_links(cells: DataFrame, links: Callable[[list[dict]], list[tuple]], col
     return map_batches(dealt, scan, ", ".join(f"{n} long" for n in names))
 
 
-def reach(first: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+def reach(first: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (member, root) that span the components of a cell of ``len(first)`` members.
 
     ``near(m, rest)`` tells which of the members ``rest`` link to m. Every member is compared with those not
-    yet reached only, so a dense cell costs about its size and a sparse one its pairs.
+    yet reached only, so a dense cell costs about its size and a sparse one its pairs. ``known`` are the members that
+    link to member 0, where it has been compared with all before; links to them aren't given again.
     """
-    out, rest = [], np.arange(len(first))
-    while len(rest) > 1:
-        root, rest = int(rest[0]), rest[1:]
-        frontier = [root]
+    out, rest, frontier, root = [], np.arange(len(first)), [], 0
+    if known is not None:
+        rest, frontier = np.setdiff1d(rest[1:], known), known.tolist()
+    while len(rest) and (frontier or len(rest) > 1):
+        if not frontier:
+            root, rest = int(rest[0]), rest[1:]
+            frontier = [root]
         while frontier and len(rest):
             hit = near(frontier.pop(), rest)
             if hit.any():
@@ -67,6 +77,7 @@ def reach(first: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> l
                 rest = rest[~hit]
                 frontier += found.tolist()
                 out += [(int(m), root) for m in found]
+        frontier = []
     return out
 
 
