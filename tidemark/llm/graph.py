@@ -81,6 +81,19 @@ def reach(first: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], know
     return out
 
 
+def join_hot(rows: DataFrame, side: DataFrame, key: str, by: list[str], share: int = 1000, tasks: int = 64) -> DataFrame:
+    """``rows`` joined with ``side`` (one row per key; column n counts the key's rows; a staged table) on ``key``.
+
+    A key with more than 1 / ``share`` of all rows is dealt over ``tasks`` tasks by a hash of the columns ``by``; there
+    are fewer than ``share`` such keys, so their broadcast is bounded.
+    """
+    total = side.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(side.filter(F.col("n") > total / share).select(key, F.lit(True).alias("_hot")))
+    dealt = rows.join(hot, key, "left").withColumn("_lane", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(tasks))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    lanes = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return dealt.join(side.drop("n").join(hot, key, "left").withColumn("_lane", F.explode(lanes)).drop("_hot"), [key, "_lane"]).drop("_lane")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root): for every id that stands in a link, the smallest id it is connected with.
 
