@@ -57,27 +57,29 @@ class Model:
 
 
 def segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments, as (first token, last token, score).
+    """All maximal scoring segments, as (first token, last token, score), in time linear in the hits.
 
     ``hits`` are the positions and scores of the positive tokens in order; every token between costs
-    ``gap`` (> 0). Time is linear in the hits but for the merges of kept segments.
+    ``gap`` (> 0). Each kept segment knows the nearest one before it that starts from a lower sum, so the search
+    for one to join skips those that can't be.
     """
-    kept: list[list[float]] = []  # first, last, sum before the segment, sum up to its end
+    kept: list[tuple[int, int, float, float, int]] = []  # first, last, sum before the segment, sum up to its end, lower one before
     total, at = 0.0, -1
     for position, score in hits:
         total -= gap * (position - at - 1)
-        now = [position, position, total, total + score]
+        first, before = position, total
         total, at = total + score, position
-        while kept:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= now[3]:
+        j = len(kept) - 1
+        while True:
+            while j >= 0 and kept[j][2] >= before:
+                j = kept[j][4]
+            if j < 0 or kept[j][3] >= total:
                 break
-            now = [kept[j][0], now[1], kept[j][2], now[3]]
+            first, _, before, _, lower = kept[j]
             del kept[j:]
-        kept.append(now)
-    return [(int(a), int(b), r - l) for a, b, l, r in kept]
+            j = lower
+        kept.append((first, position, before, total, j))
+    return [(a, b, r - l) for a, b, l, r, _ in kept]
 
 
 def hits_of(tokens: list[str], scores: dict[str, float]) -> list[tuple[int, float]]:
