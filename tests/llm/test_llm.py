@@ -457,6 +457,27 @@ def test_segments_against_brute_force():
         assert max((s for _, _, s in found), default=0) == pytest.approx(max((s for _, _, s in expected), default=0))
 
 
+def test_segments_one_by_one_and_in_linear_time():
+    """The segments themselves, by the definition: the best one, then the same on either side of it."""
+    import time
+
+    rng = random.Random(16)
+    for _ in range(200):
+        scores = [rng.choice([-0.75, -0.75, rng.random() * 3]) for _ in range(rng.randint(1, 16))]
+
+        def best(a, b):
+            top = max(((sum(scores[i:j]), j - i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+            return best(a, top[2]) + [(top[2], top[3] - 1)] + best(top[3], b) if top[0] > 1e-12 else []
+
+        found = toxicity.segments([(i, x) for i, x in enumerate(scores) if x > 0], 0.75)
+        assert [(a, b) for a, b, _ in found] == best(0, len(scores))
+        assert all(x == pytest.approx(sum(scores[a : b + 1])) for a, b, x in found)
+    for step in (1, 3, 40):  # dense, balanced and sparse hits
+        began = time.time()
+        toxicity.segments([(i * step, 1.0 + rng.random()) for i in range(200_000)], 0.75)
+        assert time.time() - began < 10
+
+
 def auc(y, s):
     pairs = [(a > b) + 0.5 * (a == b) for a, i in zip(s, y, strict=True) if i for b, j in zip(s, y, strict=True) if not j]
     return float(np.mean(pairs))
@@ -651,6 +672,22 @@ def test_curriculum(spark):
     assert df.up == pytest.approx(0.5) and df.flat == 0.25
 
 
+def test_every_pass_has_a_position(spark):
+    """A source taken two and a half times under a rising weight, held against numeric integration."""
+    docs = spark.createDataFrame([(i, "a", 10) for i in range(20)] + [(100, "b", 5000), (101, "b", 0)], "doc_id long, source string, size long")
+    schedules = spark.createDataFrame([("a", 1.0, 3.0)], "source string, start double, end double")
+    rows = mixing.mix(docs, [1, 10], 3, schedules).collect()
+    grid = np.linspace(0, 1, 200_001)
+    demand = np.cumsum(1 + 2 * grid) / np.sum(1 + 2 * grid)
+    a = [r for r in rows if r.source == "a"]
+    goal = round(a[0].target)
+    assert 2 * 200 < goal < 3 * 200 and sum(r.taken for r in a) == goal
+    laid = sorted((x, r.size) for r in a for x in r.positions)
+    expected = [float(grid[np.searchsorted(demand, k * 10 / goal)]) for k in range(len(laid))]
+    assert [x for x, _ in laid] == pytest.approx(expected, abs=1e-4)
+    assert all(len(r.positions) == math.ceil(r.taken / r.size) if r.size else r.positions == [] for r in rows)
+
+
 # ---- all --------------------------------------------------------------------------------------------
 
 
