@@ -95,7 +95,7 @@ def test_greedy_is_not_transitive(spark):
 
 def test_skills(spark):
     text = "We build services.\nRequirements\nPython, FastAPI and PostgreSQL with Docker\nNice to have\nTerraform"
-    run = lambda title, body: {s["slug"]: s for s in skillmatch.of_record(title, body, skillmatch.DEFAULT, skillmatch._pattern(skillmatch.DEFAULT), 0.0)}
+    run = lambda title, body: {s["slug"]: s.asDict() for s in spark.createDataFrame([(title, body)], "t string, b string").select(skillmatch.extract(F.col("t"), F.col("b"), least=0.0)).first()[0]}
     found = run("Python Engineer", text)
     assert found["python"]["is_required"] is True and found["terraform"]["is_required"] is False and {"fastapi", "postgresql", "docker"} <= set(found)
     assert "go" not in run("", "We go to the office daily.") and "go" in run("", "Stack: Python, Go, Rust")
@@ -103,6 +103,14 @@ def test_skills(spark):
     df = spark.createDataFrame([("Python Engineer", text), (None, None)], "t string, b string")
     got = df.select(skillmatch.top(skillmatch.extract(F.col("t"), F.col("b")), 2).alias("s")).collect()
     assert got[0].s[0].slug == "python" and got[1].s == []
+    # places are those of the text: a name before, inside and after the sections, twice, at either end
+    body = "kafka first\n  Qualifications: see below\nDocker, docker and Kafka\nBonus\nRust or k8s"
+    found = run("", body)
+    assert [(found[s]["is_required"], found[s]["occurrences"]) for s in ("kafka", "docker", "rust", "kubernetes")] == [(True, 2), (True, 2), (False, 1), (False, 1)]
+    assert found["docker"]["confidence"] == pytest.approx(0.55 + 0.07 + 0.15 + 0.08) and found["kubernetes"]["confidence"] == pytest.approx(0.5)
+    assert run("Rust", "Rust")["rust"]["confidence"] == pytest.approx(0.83) and run("Rust", "")["rust"]["confidence"] == pytest.approx(0.78)
+    assert run("", "C/C++ developer")["c"]["confidence"] == pytest.approx(0.53) and "c" not in run("", "vitamin C")
+    assert run("Rust", "Bonus\nRust")["rust"]["is_required"] is True and run(None, "pythonic rusty dockers") == {}
     with pytest.raises(ValueError):
         skillmatch.Taxonomy([], {"a": "b", "b": "a"})
 
