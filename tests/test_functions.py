@@ -81,3 +81,28 @@ def test_statistics(spark):
     assert one(spark, stats.percent_change(F.col("a"), F.col("b")), a=5.0, b=0.0) is None
     dense = stats.dense_days(spark.sql("SELECT DATE'2024-01-01' AS day, 5L AS n UNION ALL SELECT DATE'2024-01-03', 3L"), "2024-01-01", "2024-01-04")
     assert [r.n for r in dense.orderBy("day").collect()] == [5, 0, 3, 0]
+
+
+def test_canonical_key_of_any_text(spark):
+    """The Column against the same key on the driver: ligatures, full-width, squared, circled, raised and mathematical letters."""
+    import random
+
+    from tidemark.functions.keys import canonical_key_of
+
+    rng = random.Random(12)
+    given = ["\ufb01ne \uff37ork", "\u2460\u2469 \u00bd \u2122 \u2116 x\u00b2", "\U0001d400\U0001d7d9", "\u33a1 \u3392", None, "", "Caf\u00e9 \u0130stanbul e\u0301"]
+    given += ["".join(chr(rng.choice([rng.randint(32, 0x24F), rng.randint(0x2000, 0x33FF), rng.randint(0xF900, 0xFFFD)])) for _ in range(30)) for _ in range(200)]
+    df = spark.createDataFrame([(g,) for g in given], "c string")
+    got = [r[0] for r in df.select(text.canonical_key(F.col("c"))).collect()]
+    assert got == [canonical_key_of(g) for g in given] and got[0] == "fine work"
+
+
+@pytest.mark.parametrize(
+    ("given", "expected"),
+    [
+        ("a < b and c > d", "a < b and c > d"), ("<p>one<p>two", "one two"), ("x<!-- <b>no</b> -->y", "xy"), ("open <b", "open <b"), ("&eacute;&#233;&copy;", "éé©"),
+        ("<style>p{}</style>kept<br/>line", "kept line"), ("<svg><p>no</p></svg>yes", "yes"), ("1 <2> 3", "1 <2> 3"), ("&lt;b&gt;bold&lt;/b&gt;", "bold"),
+    ],
+)
+def test_markup_that_is_not_well_formed(spark, given, expected):
+    assert one(spark, text.collapse(text.strip_html_exact(F.col("c"))), c=given) == expected

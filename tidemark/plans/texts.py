@@ -38,8 +38,8 @@ def key(x: str) -> str:
     return _KEY.format(x=x)
 
 
-entry("canonical_key", "documents", f"SELECT doc_id, {key('substr(text, 1, 300)')} AS value FROM documents")(column(lambda c: text.canonical_key(F.substring(c, 1, 300))))
-entry("slugify", "documents", f"SELECT doc_id, regexp_replace(substr(replace({key('substr(text, 1, 300)')}, ' ', '-'), 1, 80), '-+$', '') AS value FROM documents")(column(lambda c: text.slugify(F.substring(c, 1, 300))))
+entry("canonical_key", "documents", f"SELECT doc_id, {key('text')} AS value FROM documents")(column(text.canonical_key))
+entry("slugify", "documents", f"SELECT doc_id, regexp_replace(substr(replace({key('text')}, ' ', '-'), 1, 80), '-+$', '') AS value FROM documents")(column(text.slugify))
 entry("tokenize_counts", "documents", f"SELECT doc_id, len({_TOKENS.format(x='text')})::BIGINT AS value FROM documents")(column(lambda c: F.size(text.tokenize(c))))
 entry("distinct_tokens", "documents", f"SELECT doc_id, len(list_distinct({_TOKENS.format(x='text')}))::BIGINT AS value FROM documents")(column(lambda c: F.size(F.array_distinct(text.tokenize(c)))))
 entry("collapse_whitespace", "documents", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS value FROM documents")(column(text.collapse))
