@@ -47,7 +47,8 @@ def test_query(spark, duck, name):
 def test_plans_are_pruned(spark):
     """No Python in relational plans; filters and columns reach the scan."""
     text = registry.queries()["salary_overview"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in text and "Arrow" not in text and "PushedFilters: [IsNotNull(o_orderdate)" in text or "GreaterThanOrEqual(o_orderdate" in text
+    assert "Python" not in text and "Arrow" not in text
+    assert "PushedFilters: [IsNotNull(o_orderdate)" in text or "GreaterThanOrEqual(o_orderdate" in text
     assert "o_orderstatus" in text and "l_orderkey" not in text
 
 
@@ -69,3 +70,19 @@ def test_engine(spark):
             AnalyticsFilter(as_of=star.AS_OF, **bad)
     with pytest.raises(ValueError):
         engine.salaries_by(flt, "shoe_size")
+
+
+def test_entry_without_the_optional_subpackage(tmp_path):
+    """A copy without tidemark/llm, tests/llm and the pipeline: the entry imports and its queries are there."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parent.parent
+    for keep_pipeline in (True, False):
+        copy = tmp_path / str(keep_pipeline)
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *([] if keep_pipeline else ["corpus_pipeline.py"])))
+        code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
+        out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True).stdout.split()
+        assert int(out[0]) == len(registry.queries()) and out[1:] == ["False", "True"]
