@@ -69,7 +69,8 @@ def band_keys(sig: Column, bands: int = BANDS) -> Column:
 def near_pairs(signed: DataFrame, threshold: float = 0.85, bands: int = BANDS) -> DataFrame:
     """(later, earlier, score) of records (id, ord, sig) whose estimate reaches the threshold.
 
-    Records of equal signatures count once, so copies make no pairs; equal ones are handled by the caller.
+    Equal signatures aren't collapsed: a band makes all pairs of its records, so a large group of copies must be
+    taken out before, as ``dedup`` does by exact keys.
     """
     keyed = signed.select("id", "ord", "sig", F.explode(band_keys(F.col("sig"), bands)).alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
