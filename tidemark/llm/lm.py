@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -380,8 +381,9 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, head: int = 60_
     ends = train.count()
     n_all, n_kinds = total + ends, kinds + (1 if ends else 0)
     top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
-    ranked = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
-    floor = min(ranked.values(), default=0)
+    head_counts = top["n"].to_pylist()
+    floor = min(head_counts, default=0)
+    ranked = {word: log10(n + 1) for word, n in zip(top["word"].to_pylist(), head_counts, strict=True)}
     grams = stage(gram_counts(train, depth), "grams")
     above = tree_above(grams, depth, chunk)
     least = least_count(grams, head_grams)
@@ -394,7 +396,7 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, head: int = 60_
 
         known, values, ranked, ends = shared.value
         seen = Seen(known, values)
-        digest = xxhash.xxh64_intdigest
+        digest, log_ends = xxhash.xxh64_intdigest, log10(ends + 1)
         for batch in batches:
             codes, starts, words = stream(text_bytes(batch), depth)
             logs, missing = seen.get(codes)
@@ -404,22 +406,13 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, head: int = 60_
             grams, gram_times = rare_grams(codes[missing], np.searchsorted(starts, missing, "right") - 1, len(starts))
             n_tokens, n_known, head_sum, rare, times = [], [], [], [], []
             for w in words:
-                have = Counter(w)
-                k, s = (1, np.log10(ends + 1)) if ends else (0, 0.0)
-                far, tf = [], []
-                for word, n in have.items():
-                    c = ranked.get(word)
-                    if c is None:
-                        far.append(digest(word) - (1 << 63))
-                        tf.append(n)
-                    else:
-                        k += n
-                        s += n * np.log10(c + 1)
+                found = list(map(ranked.get, w))
+                lost = Counter(word for word, x in zip(w, found, strict=True) if x is None) if None in found else {}
                 n_tokens.append(len(w) + 1)
-                n_known.append(k)
-                head_sum.append(float(s))
-                rare.append(far)
-                times.append(tf)
+                n_known.append(len(w) - sum(lost.values()) + (1 if ends else 0))
+                head_sum.append(log_ends + (sum(x for x in found if x is not None) if lost else sum(found)))
+                rare.append([digest(word) - (1 << 63) for word in lost])
+                times.append(list(lost.values()))
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(head_sum, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())), pa.array(sums), pa.array(sizes, pa.int64()), grams, gram_times],
