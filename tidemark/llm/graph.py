@@ -28,7 +28,9 @@ def collision_cells(rows: DataFrame, block: int = 2048, collapse: bool = True) -
         content = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("y"))
         kept = content.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
     else:
-        kept = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        # counts of the other columns keep them, so that the shuffle that ``rows`` may need is one and the same in both branches
+        n = F.greatest(F.count("*"), *[F.count(c) for c in rows.columns if c != "key"])
+        kept = rows.groupBy("key").agg(n.alias("n")).filter("n > 1")
     met = rows.join(kept.select("key", F.ceil(F.col("n") / block).alias("g")), "key").withColumn("b", F.pmod(F.xxhash64("id", F.lit(3)), F.col("g")))
     # one block: one cell; more: a cell for each pair of different blocks
     partners = F.when(F.col("g") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda j: j != F.col("b")))
