@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, fingerprints, langid, lm, mixing, paragraphs, quality, simhash, toxicity, urls
+from tidemark.llm import decontaminate, fingerprints, langid, lm, mixing, paragraphs, quality, sharding, simhash, spelling, toxicity, urls, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": langid.op8_language_id,
         "op9_lm_scoring": lm.op9_lm_scoring,
         "op10_mixing": mixing.op10_mixing,
+        "op11_sharding": sharding.op11_sharding,
+        "op12_spelling": spelling.op12_spelling,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
