@@ -6,9 +6,7 @@ is similar enough; chains are resolved by rounds over staged verdicts, never on
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -16,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from tidemark import tables
+
 PERMUTATIONS, BANDS, PRIME = 128, 16, (1 << 31) - 1
 TOKEN, URL = re.compile(r"[a-z0-9][a-z0-9+#.\-_/]*"), re.compile(r"https?://\S+")
 
@@ -99,10 +99,11 @@ def exact_verdicts(records: DataFrame) -> DataFrame:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; where that is unset, as in tests, in one of our own."""
+    """Cut the lineage in the folder of spark.checkpoint.dir."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tidemark-checkpoint"))
+    folder = tables.shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -127,7 +128,7 @@ def greedy(pairs: DataFrame) -> DataFrame:
         verdict = new
     accepted = verdict.filter("NOT dup").select(F.col("id").alias("earlier"))
     best = pairs.join(accepted, "earlier").join(verdict.filter("dup").select(F.col("id").alias("later")), "later")
-    return best.groupBy(F.col("later").alias("id")).agg(F.max_by(F.struct("earlier", "score"), F.struct("score", -F.col("ord"))).alias("b")).select("id", F.col("b.earlier").alias("duplicate_of"), F.col("b.score").alias("score"))
+    return best.groupBy(F.col("later").alias("id")).agg(F.min_by(F.struct("earlier", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("b")).select("id", F.col("b.earlier").alias("duplicate_of"), F.col("b.score").alias("score"))
 
 
 def dedup(records: DataFrame, threshold: float = 0.85, bands: int = BANDS) -> DataFrame:

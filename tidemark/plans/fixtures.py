@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import tables
 from tidemark.functions import dates, stats, text, urls
 from tidemark.operators import dedup, maintenance, quality, records, skillmatch
 from tidemark.plans.star import typed
@@ -93,8 +93,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _target(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidemark-shared"
-    return f"{base.rstrip('/')}/tidemark/stream-{uuid.uuid4().hex}"
+    return tables.fresh(spark, "stream")
 
 
 def _stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:

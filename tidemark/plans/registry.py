@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import fixtures, star, texts
+from tidemark.plans import fixtures, star, stored, texts
 
-_ENTRIES = [*star.ENTRIES, *texts.ENTRIES, *fixtures.ENTRIES]
+_ENTRIES = [*star.ENTRIES, *texts.ENTRIES, *fixtures.ENTRIES, *stored.ENTRIES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
