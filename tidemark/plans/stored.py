@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from tidemark import tables
 from tidemark.functions import text
 from tidemark.operators import dedup
 from tidemark.operators.bandindex import BandIndex
+from tidemark.operators.textindex import TextIndex
 from tidemark.plans.star import read
-from tidemark.plans.texts import _TOKENS
+from tidemark.plans.texts import _TOKENS, key
 
 ENTRIES: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] = []
 
@@ -50,8 +52,8 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     table = tables.KeyedTable.create(spark, tables.fresh(spark, "keyed"), events.schema, ["user_id", "event_type"], 8)
     slices = [events.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == k) for k in range(4)]
-    key = F.struct("ts", "event_id")
-    run = lambda df, i: table.merge(df.groupBy(F.col("user_id").alias("u"), F.col("event_type").alias("t")).agg(F.max_by(F.struct(*events.columns), key).alias("r")).select("r.*"), i, _last)
+    order = F.struct("ts", "event_id")
+    run = lambda df, i: table.merge(df.groupBy(F.col("user_id").alias("u"), F.col("event_type").alias("t")).agg(F.max_by(F.struct(*events.columns), order).alias("r")).select("r.*"), i, _last)
     for batch_id, k in [(0, 2), (1, 0), (1, 3), (2, 3), (3, 1), (3, 0), (4, 0)]:  # batch 1 and 3 are replayed with other rows, which have to be ignored; 4 repeats old rows
         run(slices[k], batch_id)
     table.vacuum()
@@ -64,3 +66,29 @@ def _last(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 ENTRIES.append(("keyed_merge", _merged, "SELECT user_id, event_type, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"))
+
+
+#: Words of the invented prose: one term, two, three.
+SEARCHES = ("hation", "the of", "les aux que")
+
+
+def _full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best twenty documents of each search, through the stored inverted index."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = TextIndex.create(docs, tables.fresh(spark, "text"), 16)
+    found = [index.search(q, 20).select(F.lit(q).alias("query"), "place", F.col("id").alias("doc_id"), "score") for q in SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search_sql(query: str) -> str:
+    words = sorted(query.split())
+    listed = ", ".join(f"'{w}'" for w in words)
+    if len(words) == 1:
+        rank = f"SELECT doc_id, round(0.1 * list_sum(list_transform(range(1, count(*) + 1), lambda k: 1.0::DOUBLE / (k * k))) / 1.64493406685, 6) AS score FROM w WHERE term = '{words[0]}' GROUP BY doc_id"
+    else:
+        rank = f"""SELECT h.doc_id, round(1 - exp(coalesce(l, 0)), 6) AS score FROM (SELECT doc_id FROM w WHERE term IN ({listed}) GROUP BY doc_id HAVING count(DISTINCT term) = {len(words)}) h
+        LEFT JOIN (SELECT a.doc_id, sum(ln(1 - 0.1 * sqrt(1.0::DOUBLE / (1.005 + 0.05 * exp(abs(a.at - b.at) / 1.5::DOUBLE - 2))))) AS l FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.term < b.term AND abs(a.at - b.at) <= 100 WHERE a.term IN ({listed}) AND b.term IN ({listed}) GROUP BY 1) p ON h.doc_id = p.doc_id"""
+    return f"SELECT '{query}' AS query, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS place, doc_id, score FROM ({rank}) QUALIFY place <= 20"
+
+
+ENTRIES.append(("full_text_ranked", _full_text, f"WITH k AS (SELECT doc_id, list_filter(string_split({key('text')}, ' '), lambda t: t <> '') AS t FROM documents), w AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS at FROM k) " + " UNION ALL ".join(f"SELECT * FROM ({_search_sql(q)})" for q in SEARCHES)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark import tables
 from tidemark.operators import records
 from tidemark.schemas import EVENT, RAW
 
@@ -66,12 +67,14 @@ def dispatch(handlers: dict[str, Callable[[DataFrame, int], None]]) -> Callable[
     return run
 
 
-def merge_batches(target: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes each batch under its id, so a replay overwrites and never repeats."""
+def merge_batches(target: str, keys: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges each batch into the keyed table at ``target``, made by the first one; a replay changes nothing."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct("*"), F.col(order)).alias("r")).select("r.*")
-        latest.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        made = tables.exists(spark, f"{target}/_log")
+        table = tables.KeyedTable(spark, target) if made else tables.KeyedTable.create(spark, target, batch.schema, keys, buckets)
+        tables.upserting(table, order)(batch, batch_id)
 
     return run
 
