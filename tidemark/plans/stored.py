@@ -21,14 +21,14 @@ ENTRIES: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]]
 
 def _rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth document against the stored index of all: near documents by exact Jaccard, the best of them first."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", text.shingles(text.tokenize(F.col("text"))).alias("s"), "text")
-    kind = F.xxhash64(F.array_sort("s"))
-    signed = tables.stage(docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), dedup.signature("text").alias("sig"), kind.alias("class")), "signed")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    signed = tables.stage(docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), dedup.signature("text").alias("sig"), F.xxhash64("text").alias("class")), "signed")
     index = BandIndex.create(signed, tables.fresh(spark, "bands"))
     asked = signed.filter("id % 20 = 0")
     found = tables.stage(index.near(asked, 0.6), "near")  # well below 0.85, which the exact sets then decide
     members = index.members(found)
-    sets = docs.join(members.select(F.col("id").alias("doc_id"), "class"), "doc_id").select("class", "s")
+    firsts = docs.join(members.select(F.col("id").alias("doc_id"), "class"), "doc_id").select("class", "text")
+    sets = tables.stage(firsts, "firsts").select("class", text.shingles(text.tokenize(F.col("text"))).alias("s"))
     both = found.join(sets, "class").join(sets.toDF("asked", "t"), "asked")
     exact = both.withColumn("jaccard", dedup.exact_jaccard(F.col("s"), F.col("t"))).filter("jaccard >= 0.85").select("asked", "class", "jaccard")
     near = asked.select("id", F.col("class").alias("asked")).join(exact, "asked").join(members.select("class", "n", F.col("id").alias("first")), "class")
@@ -37,11 +37,11 @@ def _rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.join(best, "id", "left").select(F.col("id").alias("doc_id"), "n_near", "n_classes", "other", "jaccard")
 
 
-ENTRIES.append(("rescan_index", _rescan, f"""WITH t AS (SELECT doc_id, {_TOKENS.format(x='text')} AS t FROM documents),
-s AS (SELECT doc_id, list_sort(CASE WHEN len(t) <= 5 THEN list_distinct(t) ELSE list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' '))) END) AS s FROM t),
-c AS (SELECT s, min(doc_id) AS first, count(*) AS n, len(s) AS size FROM s WHERE len(s) > 0 GROUP BY s),
+ENTRIES.append(("rescan_index", _rescan, f"""WITH t AS (SELECT doc_id, text, {_TOKENS.format(x='text')} AS t FROM documents),
+s AS (SELECT doc_id, text, CASE WHEN len(t) <= 5 THEN list_distinct(t) ELSE list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' '))) END AS s FROM t),
+c AS (SELECT text, min(doc_id) AS first, count(*) AS n, any_value(s) AS s, len(any_value(s)) AS size FROM s WHERE len(s) > 0 GROUP BY text),
 x AS (SELECT first, size, unnest(s) AS w FROM c),
-q AS (SELECT s.doc_id, c.first FROM s JOIN c USING (s) WHERE s.doc_id % 20 = 0),
+q AS (SELECT s.doc_id, c.first FROM s JOIN c USING (text) WHERE s.doc_id % 20 = 0),
 p AS (SELECT a.first AS a, b.first AS b, count(*)::DOUBLE / (any_value(a.size) + any_value(b.size) - count(*)) AS jaccard FROM x a JOIN x b USING (w) WHERE a.first IN (SELECT first FROM q) GROUP BY 1, 2)
 SELECT q.doc_id, (sum(c.n) - 1)::BIGINT AS n_near, count(*) AS n_classes, min(CASE WHEN p.b <> q.first THEN p.b END) AS other, round(max(CASE WHEN p.b <> q.first THEN jaccard END), 6) AS jaccard
 FROM q JOIN p ON p.a = q.first JOIN c ON c.first = p.b WHERE jaccard >= 0.85 GROUP BY 1"""))
