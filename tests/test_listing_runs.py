@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import listing, runs
-from tidemark.operators.listing import Listing
 
 T = [datetime(2024, 1, d) for d in range(1, 9)]
 COLUMNS = (
@@ -29,25 +28,31 @@ def bridge(spark):
     return spark.createDataFrame([(1, "python", 0.9), (1, "go", 0.8), (6, "python", 0.7)], "job_id long, slug string, confidence double")
 
 
+shown, span = listing.shown, listing.span
+
+
 @pytest.mark.parametrize(
-    "asked,expected",
+    "wanted,asked,paged,expected",
     [
-        ({}, [7, 6, 3, 2, 1]), ({"descending": False}, [1, 2, 3, 6, 7]), ({"include_duplicates": True, "statuses": ()}, [7, 6, 5, 4, 3, 2, 1]), ({"sources": ("s0",)}, [6, 2]),
-        ({"title_contains": "Data  SCIENTIST"}, [2]), ({"has_salary": True}, [6, 2, 1]), ({"has_salary": False}, [3]), ({"salary_min": 60}, [6, 2, 1]), ({"salary_max": 40}, []),
-        ({"published_after": T[2], "published_before": T[3]}, [3, 2]), ({"first_seen_after": T[6]}, [7, 6]), ({"text": "berlin backend"}, [7, 6, 3, 1]), ({"skills": ("python", "go", "go")}, [1]),
-        ({"skills": ("python", "go"), "require_all_skills": False}, [6, 1]), ({"city": "BERLIN", "country_code": "de", "limit": 2, "offset": 1}, [6, 3]), ({"company_slug": "other"}, []),
-        ({"sort": "salary", "descending": True}, [1, 2, 6, 3, 7]),
+        ([], {}, {}, [7, 6, 3, 2, 1]), ([], {}, {"descending": False}, [1, 2, 3, 6, 7]), ([lambda: F.lit(True)], {}, {}, [7, 6, 5, 4, 3, 2, 1]), ([shown, lambda: listing.one_of("source", "s0")], {}, {}, [6, 2]),
+        ([shown, lambda: listing.title_contains("Data  SCIENTIST")], {}, {}, [2]), ([shown, lambda: listing.has_salary(True)], {}, {}, [6, 2, 1]), ([shown, lambda: listing.has_salary(False)], {}, {}, [3]),
+        ([shown, lambda: listing.pays(60)], {}, {}, [6, 2, 1]), ([shown, lambda: listing.pays(None, 40)], {}, {}, []),
+        ([shown, lambda: span("published_at", T[2], T[3])], {}, {}, [3, 2]), ([shown, lambda: span("first_seen_at", T[6])], {}, {}, [7, 6]), ([], {"text": "berlin backend"}, {}, [7, 6, 3, 1]),
+        ([], {"slugs": ("python", "go", "go")}, {}, [1]), ([], {"slugs": ("python", "go"), "every": False}, {}, [6, 1]),
+        ([shown, lambda: listing.named("city", "BERLIN"), lambda: listing.named("country_code", "de")], {}, {"limit": 2, "offset": 1}, [6, 3]), ([shown, lambda: listing.one_of("company_slug", "other")], {}, {}, []),
+        ([], {}, {"order": "salary", "descending": True}, [1, 2, 6, 3, 7]),
     ],
 )
-def test_listing(jobs, bridge, asked, expected):
-    assert [r.id for r in listing.page(jobs, bridge, Listing(**asked)).collect()] == expected
+def test_listing(jobs, bridge, wanted, asked, paged, expected):
+    found = listing.matching(jobs, *[w() for w in wanted], bridge=bridge, **asked)
+    assert [r.id for r in listing.page(found, **paged).collect()] == expected
 
 
 def test_listing_refuses(jobs):
     with pytest.raises(ValueError):
-        Listing(sort="size")
+        listing.page(jobs, "size")
     with pytest.raises(ValueError):
-        listing.page(jobs, None, Listing(skills=("go",)))
+        listing.matching(jobs, slugs=("go",))
 
 
 def test_with_skills(spark, jobs, bridge):

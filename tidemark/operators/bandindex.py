@@ -30,11 +30,16 @@ class BandIndex:
         self.buckets, self.bands = self.settings["buckets"], self.settings["bands"]
 
     @classmethod
-    def create(cls, signed: DataFrame, folder: str, buckets: int = 1024, bands: int = 32) -> BandIndex:
-        """A new index of ``signed``; ``bands`` of 128 / bands values each find pairs at 0.85 with certainty 1 - 1e-10 for 32."""
+    def create(cls, signed: DataFrame, folder: str, buckets: int | None = None, bands: int = 32) -> BandIndex:
+        """A new index of ``signed``; ``bands`` of 128 / bands values each find pairs at 0.85 with certainty 1 - 1e-10 for 32.
+
+        Without ``buckets`` there is one for about 200 records, from 16 to 4096.
+        """
         if dedup.PERMUTATIONS % bands:
             raise ValueError(f"bands divide {dedup.PERMUTATIONS}")
         types = dict(signed.dtypes)
+        if buckets is None:
+            buckets = 1 << min(max((signed.count() // 200).bit_length(), 4), 12)
         tables.put_json(signed.sparkSession, f"{folder.rstrip('/')}/index.json", {"buckets": buckets, "bands": bands, "id": types["id"], "ord": types["ord"]})
         index = cls(signed.sparkSession, folder)
         index.add(signed)
