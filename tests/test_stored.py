@@ -1,5 +1,6 @@
 """Stored structures: band index, versioned tables."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import tables
-from tidemark.operators import bandindex, dedup
+from tidemark.operators import bandindex, dedup, skillmatch, tree
+from tidemark.sources import files
 
 
 def texts(n, seed=1, words=120):
@@ -96,3 +98,62 @@ def test_keyed_table(spark):
 
 def test_shared_folder(spark):
     assert tables.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_tree(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "child string, parent string")
+    edges = frame([("a", None), ("b", "a"), ("c", "b"), ("d", "b"), ("x", None)])
+    pairs = tree.closure(edges)
+    assert {(r["node"], r["depth"], r["path"], r["n_below"]) for r in tree.laid_out(pairs).collect()} == {("a", 0, "a", 3), ("b", 1, "a/b", 2), ("c", 2, "a/b/c", 0), ("d", 2, "a/b/d", 0), ("x", 0, "x", 0)}
+    assert [tuple(r) for r in tree.descendants(pairs, "a").collect()] == [("b", 1), ("c", 2), ("d", 2)]
+    assert [r["child"] for r in tree.children(edges, "b").collect()] == ["c", "d"] and [r["child"] for r in tree.children(edges, None).collect()] == ["a", "x"]
+    sums = tree.subtree_sums(pairs, spark.createDataFrame([("c", 2), ("c", 3), ("b", 10)], "node string, value long"))
+    assert {r["node"]: r["total"] for r in sums.collect()} == {"a": 15, "b": 15, "c": 5}
+    for bad in ([("a", "b"), ("b", "c"), ("c", "a")], [("a", None), ("a", "a")], [("a", "z")]):
+        with pytest.raises(ValueError):
+            tree.closure(frame(bad))
+
+
+def test_taxonomy_file(spark, tmp_path):
+    path = tmp_path / "skills.json"
+    good = {"skills": [{"slug": "go", "name": "Go", "category": "language", "parent": "backend", "ambiguous": True}, {"slug": "ada", "parent": "backend", "category": "language"}], "groups": [{"slug": "backend", "parent": "it"}, {"slug": "it"}]}
+    path.write_text(json.dumps(good))
+    found = skillmatch.load(spark, str(path))
+    assert found.path("backend") == ["backend", "it"] and [s.slug for s in found.by_category()["language"]] == ["ada", "go"]
+    assert {(r["node"], r["path"]) for r in tree.laid_out(tree.closure(found.edges(spark))).collect()} == {("it", "it"), ("backend", "it/backend"), ("go", "it/backend/go"), ("ada", "it/backend/ada")}
+    for skills, groups in (([{"slug": "Go"}], []), ([{"slug": "go"}, {"slug": "go"}], []), ([{"slug": "go", "parent": "no"}], []), ([], [{"slug": "a", "parent": "b"}, {"slug": "b", "parent": "a"}]), ([], [{"slug": "a"}, {"slug": "a"}])):
+        path.write_text(json.dumps({"skills": skills, "groups": groups}))
+        with pytest.raises(ValueError):
+            skillmatch.load(spark, str(path))
+
+
+def test_row_numbers_are_stable(spark, tmp_path):
+    path = tmp_path / "jobs.jsonl"
+    text = "".join(json.dumps({"id": k, "pad": "x" * (k % 50)}) + "\n" + ("\n" if k % 10 == 9 else "") for k in range(400))
+    path.write_text(text)
+    rows = lambda: {r["id"]: r["row"] for r in files.scan(spark, str(path)).selectExpr("try_variant_get(payload, '$.id', 'int') id", "row").collect()}
+    want = {k: k + k // 10 for k in range(400)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1g", "4k", "300b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert rows() == want, size
+        path.write_text(text + "".join(json.dumps({"id": k}) + "\n" for k in range(400, 450)))
+        assert {k: v for k, v in rows().items() if k < 400} == want
+        assert sorted(r["id"] for r in files.scan(spark, str(path)).filter("row >= 440").selectExpr("try_variant_get(payload, '$.id', 'int') id").collect()) == list(range(400, 450))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_counts_from_footers(spark, tmp_path):
+    root = str(tmp_path / "store")
+    jobs = spark.range(50).select(F.col("id").cast("string").alias("id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=(F.col("id") % 3).cast("int"))).alias("published_at"), F.array(F.lit("go")).alias("skills"))
+    files.export(jobs, root)
+    counted = files.partitions(spark, root)
+    assert {(r["year"], r["month"], r["day"]): r["n"] for r in counted.collect()} == {(2024, 1, 1): 17, (2024, 1, 2): 17, (2024, 1, 3): 16} and files.row_count(spark, root) == 50
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan
+    assert files.query(spark, root, "WITH a AS (SELECT count(*) AS n FROM jobs) SELECT n FROM a").first()["n"] == 50
+    for bad in ("DELETE FROM jobs", "WITH a AS (SELECT 1) INSERT INTO jobs SELECT * FROM a", "CREATE TABLE x AS SELECT 1"):
+        with pytest.raises(Exception, match="only queries|mismatch|Syntax|PARSE"):
+            files.query(spark, root, bad)

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark import tables
 from tidemark.functions import text
-from tidemark.operators import dedup
+from tidemark.operators import dedup, tree
 from tidemark.operators.bandindex import BandIndex
 from tidemark.operators.textindex import TextIndex
-from tidemark.plans.star import read
+from tidemark.plans.star import read, typed
 from tidemark.plans.texts import _TOKENS, key
 
 ENTRIES: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] = []
@@ -92,3 +92,21 @@ def _search_sql(query: str) -> str:
 
 
 ENTRIES.append(("full_text_ranked", _full_text, f"WITH k AS (SELECT doc_id, list_filter(string_split({key('text')}, ' '), lambda t: t <> '') AS t FROM documents), w AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS at FROM k) " + " UNION ALL ".join(f"SELECT * FROM ({_search_sql(q)})" for q in SEARCHES)))
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of parts, the brands of a type and the sizes of a brand as a tree, with the parts in each subtree."""
+    brand, size = F.concat_ws(":", "p_type", "p_brand"), F.concat_ws(":", "p_type", "p_brand", "p_size")
+    parts = read(spark, sf_dir, "part").select("p_type", brand.alias("brand"), size.alias("size"))
+    pairs = [(F.lit("parts"), F.lit(None).cast("string")), (F.col("p_type"), F.lit("parts")), (F.col("brand"), F.col("p_type")), (F.col("size"), F.col("brand"))]
+    closure = tree.closure(reduce(DataFrame.unionByName, [parts.select(c.alias("child"), p.alias("parent")).distinct() for c, p in pairs]))
+    total = tree.subtree_sums(closure, parts.select(F.col("size").alias("node"), F.lit(1).alias("value")))
+    return typed(tree.laid_out(closure).join(total, "node"))
+
+
+ENTRIES.append(("taxonomy_tree", _tree, """WITH RECURSIVE p AS (SELECT p_type, p_type || ':' || p_brand AS brand, p_type || ':' || p_brand || ':' || p_size AS size FROM part),
+e AS (SELECT 'parts' AS child, NULL AS parent UNION ALL SELECT DISTINCT p_type, 'parts' FROM p UNION ALL SELECT DISTINCT brand, p_type FROM p UNION ALL SELECT DISTINCT size, brand FROM p),
+t AS (SELECT child AS node, child AS ancestor, 0 AS distance FROM e UNION ALL SELECT t.node, e.parent, t.distance + 1 FROM t JOIN e ON t.ancestor = e.child WHERE e.parent IS NOT NULL),
+b AS (SELECT ancestor AS node, count(*) FILTER (distance > 0) AS n_below FROM t GROUP BY 1),
+v AS (SELECT t.ancestor AS node, count(*) AS total FROM p JOIN t ON p.size = t.node GROUP BY 1)
+SELECT t.node, max(distance)::BIGINT AS depth, string_agg(t.ancestor, '/' ORDER BY distance DESC) AS path, any_value(b.n_below) AS n_below, any_value(v.total) AS total FROM t JOIN b ON b.node = t.node JOIN v ON v.node = t.node GROUP BY t.node"""))
