@@ -17,7 +17,10 @@ Nulls: a null text or id isn't indexed. A query without terms finds nothing.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +32,6 @@ from tidemark.operators.search import terms
 WEIGHT, NEAR, ALL_SQUARES = 0.1, 100, 1.64493406685
 
 
-def tokens(c: Column) -> Column:
-    """The words of a text's canonical key in order."""
-    return F.filter(F.split(tx.canonical_key(c), " "), lambda w: w != "")
-
-
 def nearness(distance: Column) -> Column:
     """Weight of two words at a distance."""
     return 1.0 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2.0))
@@ -44,6 +42,26 @@ def _alone(n: Column) -> Column:
     return WEIGHT * F.aggregate(F.sequence(F.lit(1).cast("long"), n.cast("long")), F.lit(0.0), lambda s, k: s + 1.0 / (k * k)) / ALL_SQUARES
 
 
+def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, id, term, positions) of (block, id, key): each different word of a text with its places in order, before anything is shuffled."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            terms_, sizes, places, which = [], [0], [], []
+            for k, key in enumerate(part.column(2).to_pylist()):
+                found: dict[str, list[int]] = defaultdict(list)
+                for place, word in enumerate(key.split()):
+                    found[word].append(place)
+                terms_ += found
+                which += [k] * len(found)
+                for held in found.values():
+                    places += held
+                    sizes.append(len(places))
+            rows = pa.array(which, pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(places, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(terms_, pa.string()), lists], names=["block", "id", "term", "positions"])
+
+
 class TextIndex:
     """The index in ``folder``."""
 
@@ -57,11 +75,12 @@ class TextIndex:
         """Index ``docs`` (id, text); a block has about ``block`` documents, a bucket at least ``lanes`` files' worth of tasks."""
         spark = docs.sparkSession
         blocks = max(1, -(-docs.count() // block))
-        words = docs.filter("id is not null").select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.posexplode(tokens(F.col("text"))).alias("position", "term"))
-        keyed = words.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("lane", F.pmod("block", F.lit(lanes)))
-        dealt = keyed.repartition("bucket", "lane")  # serves both groupings and the files
-        each = dealt.groupBy("bucket", "lane", "term", "block", "id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-        rows = each.groupBy("bucket", "lane", "term", "block").agg(F.max(F.size("positions")).cast("long").alias("most"), F.sort_array(F.collect_list(F.struct("id", "positions"))).alias("docs"))
+        kind = dict(docs.dtypes)["id"]
+        keys = docs.filter("id is not null").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", tx.canonical_key(F.col("text")).alias("key"))
+        each = keys.mapInArrow(placed, f"block long, id {kind}, term string, positions array<int>")
+        # the bucket and lane are told by term and block: one shuffle serves the grouping and the files
+        dealt = each.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("lane", F.pmod("block", F.lit(lanes))).repartition("bucket", "lane")
+        rows = dealt.groupBy("bucket", "lane", "term", "block").agg(F.max(F.size("positions")).cast("long").alias("most"), F.sort_array(F.collect_list(F.struct("id", "positions"))).alias("docs"))
         tables.put_json(spark, f"{folder.rstrip('/')}/index.json", {"buckets": buckets, "id": dict(docs.dtypes)["id"]})
         rows.drop("lane").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder.rstrip('/')}/postings")
         return cls(spark, folder)
