@@ -30,7 +30,7 @@ def test_search(spark):
     words = [f"w{k}" for k in range(60)]
     docs = [(k, " ".join(rng.choices(words, weights=[1 / (j + 1) for j in range(60)], k=rng.choice([5, 40, 300])))) for k in range(400)]
     docs += [(400, None), (401, ""), (402, "Wörld w1 W2"), (403, "w1 " + "x " * 250 + "w2"), (None, "w1 w2")]
-    index = TextIndex.create(spark.createDataFrame(docs, "id long, text string"), tables.fresh(spark, "text"), buckets=8, block=8, lanes=2)
+    index = TextIndex.create(spark.createDataFrame(docs, "id long, text string"), tables.fresh(spark, "text"), buckets=8, block=8)
     for query in ("w1", "w2 w1", "w40 w3 W50", "world", "w1 nowhere", "", "w7 w7"):
         asked = sorted(set(canonical_key_of(query).split()))
         want = sorted(((-s, i) for i, t in docs if i is not None and asked and (s := rank(t or "", asked)) is not None))[:10]

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,24 +43,33 @@ def _alone(n: Column) -> Column:
     return WEIGHT * F.aggregate(F.sequence(F.lit(1).cast("long"), n.cast("long")), F.lit(0.0), lambda s, k: s + 1.0 / (k * k)) / ALL_SQUARES
 
 
-def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, id, term, positions) of (block, id, key): each different word of a text with its places in order, before anything is shuffled."""
+def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, term, most, docs) of (block, id, key) that come sorted by block: one row for each term of a block, a block at a time."""
+    block, held = None, []
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            terms_, sizes, places, which = [], [0], [], []
-            for k, key in enumerate(part.column(2).to_pylist()):
-                found: dict[str, list[int]] = defaultdict(list)
-                for place, word in enumerate(key.split()):
-                    found[word].append(place)
-                terms_ += found
-                which += [k] * len(found)
-                for held in found.values():
-                    places += held
-                    sizes.append(len(places))
-            rows = pa.array(which, pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(places, pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(terms_, pa.string()), lists], names=["block", "id", "term", "positions"])
+        for at, one, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            if at != block and held:
+                yield _inverted(block, held)
+                held = []
+            block = at
+            held.append((one, key))
+    if held:
+        yield _inverted(block, held)
+
+
+def _inverted(block: int, held: list[tuple[pa.Scalar, str]]) -> pa.RecordBatch:
+    found: dict[str, dict[int, list[int]]] = defaultdict(dict)
+    for k, (_, key) in enumerate(held):
+        for place, word in enumerate(key.split()):
+            found[word].setdefault(k, []).append(place)
+    which = [k for docs in found.values() for k in docs]
+    lists = [positions for docs in found.values() for positions in docs.values()]
+    ids = pa.array([one.as_py() for one, _ in held], held[0][0].type).take(pa.array(which, pa.int64()))
+    docs = pa.StructArray.from_arrays([ids, pa.array(lists, pa.list_(pa.int32()))], names=["id", "positions"])
+    ends = [0, *accumulate(len(d) for d in found.values())]
+    most = [max(map(len, d.values())) for d in found.values()]
+    columns = [pa.array([block] * len(found), pa.int64()), pa.array(list(found), pa.string()), pa.array(most, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), docs)]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "term", "most", "docs"])
 
 
 class TextIndex:
@@ -71,18 +81,17 @@ class TextIndex:
         self.schema = f"bucket int, term string, block long, most long, docs array<struct<id:{self.settings['id']},positions:array<int>>>"
 
     @classmethod
-    def create(cls, docs: DataFrame, folder: str, buckets: int = 64, block: int = 128, lanes: int = 4) -> TextIndex:
-        """Index ``docs`` (id, text); a block has about ``block`` documents, a bucket at least ``lanes`` files' worth of tasks."""
+    def create(cls, docs: DataFrame, folder: str, buckets: int = 64, block: int = 128) -> TextIndex:
+        """Index ``docs`` (id, text); a block has about ``block`` documents, a bucket a file of each task."""
         spark = docs.sparkSession
         blocks = max(1, -(-docs.count() // block))
         kind = dict(docs.dtypes)["id"]
-        keys = docs.filter("id is not null").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", tx.canonical_key(F.col("text")).alias("key"))
-        each = keys.mapInArrow(placed, f"block long, id {kind}, term string, positions array<int>")
-        # the bucket and lane are told by term and block: one shuffle serves the grouping and the files
-        dealt = each.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("lane", F.pmod("block", F.lit(lanes))).repartition("bucket", "lane")
-        rows = dealt.groupBy("bucket", "lane", "term", "block").agg(F.max(F.size("positions")).cast("long").alias("most"), F.sort_array(F.collect_list(F.struct("id", "positions"))).alias("docs"))
-        tables.put_json(spark, f"{folder.rstrip('/')}/index.json", {"buckets": buckets, "id": dict(docs.dtypes)["id"]})
-        rows.drop("lane").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder.rstrip('/')}/postings")
+        # the texts are shuffled once, to their blocks; what a block makes is bounded by it and goes to the files where it is
+        dealt = docs.filter("id is not null").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "text").repartition("block").sortWithinPartitions("block")
+        rows = dealt.select("block", "id", tx.canonical_key(F.col("text")).alias("key")).mapInArrow(inverted, f"block long, term string, most long, docs array<struct<id:{kind},positions:array<int>>>")
+        tables.put_json(spark, f"{folder.rstrip('/')}/index.json", {"buckets": buckets, "id": kind})
+        bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        bucketed.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder.rstrip('/')}/postings")
         return cls(spark, folder)
 
     def postings(self, words: list[str]) -> DataFrame:
