@@ -67,20 +67,26 @@ def band_keys(sig: Column, bands: int = BANDS) -> Column:
 
 
 def near_pairs(signed: DataFrame, threshold: float = 0.85, bands: int = BANDS) -> DataFrame:
-    """(later, earlier, score) of records (id, ord, sig) whose estimate reaches the threshold.
+    """(later, earlier, score, ord) of records (id, ord, sig): each later record with the earlier *first* records of the signatures near its own.
 
-    Equal signatures aren't collapsed: a band makes all pairs of its records, so a large group of copies must be
-    taken out before, as ``dedup`` does by exact keys.
+    Records of one signature are one class, which its first record stands for: of any number of equal signatures each gives one row for each near
+    class, not one for each near record. ``greedy`` decides alike on these and on all pairs: a record after the first of its class is
+    never accepted, since whatever is near to it is near to the first. Bands are joined over classes, of which each near pair is scored once.
+    Signatures without values are near to nothing.
     """
-    keyed = signed.select("id", "ord", "sig", F.explode(band_keys(F.col("sig"), bands)).alias("band"))
+    rows = signed.filter(F.size("sig") > 0).select("id", "ord", "sig", F.sha2(F.array_join("sig", ","), 256).alias("class"))
+    classes = tables.stage(rows.groupBy("class").agg(F.first("sig").alias("sig"), F.min_by("id", "ord").alias("earlier"), F.min("ord").alias("o2")), "classes")
+    keyed = classes.select("class", F.explode(band_keys(F.col("sig"), bands)).alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    narrow = keyed.select("id", "ord", "band").join(shared, "band")
-    left = narrow.select("band", F.col("id").alias("later"), F.col("ord").alias("o1"))
-    right = narrow.select("band", F.col("id").alias("earlier"), F.col("ord").alias("o2"))
-    pairs = left.join(right, "band").filter("o2 < o1").select("later", "earlier", "o2").distinct()
-    a, b = signed.select(F.col("id").alias("later"), F.col("sig").alias("s1")), signed.select(F.col("id").alias("earlier"), F.col("sig").alias("s2"))
-    scored = pairs.join(a, "later").join(b, "earlier").withColumn("score", similarity(F.col("s1"), F.col("s2")))
-    return scored.filter(F.col("score") >= threshold).select("later", "earlier", "score", F.col("o2").alias("ord"))
+    narrow = keyed.join(shared, "band")
+    pairs = narrow.select("band", F.col("class").alias("a")).join(narrow.select("band", F.col("class").alias("b")), "band").filter("a < b").select("a", "b").distinct()
+    sigs = classes.select("class", "sig")
+    scored = pairs.join(sigs.toDF("a", "s1"), "a").join(sigs.toDF("b", "s2"), "b").withColumn("score", similarity(F.col("s1"), F.col("s2"))).filter(F.col("score") >= threshold)
+    near = tables.stage(scored.select("a", "b", "score"), "near")
+    own = F.lit(1.0).cast("double")
+    links = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(classes.select(F.col("class").alias("a"), F.col("class").alias("b"), own.alias("score")))
+    firsts = links.join(classes.select(F.col("class").alias("b"), "earlier", "o2"), "b").select(F.col("a").alias("class"), "earlier", "o2", "score")
+    return rows.select("class", F.col("id").alias("later"), F.col("ord").alias("o1")).join(firsts, "class").filter("o2 < o1").select("later", "earlier", "score", F.col("o2").alias("ord"))
 
 
 def exact_verdicts(records: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.filters import at, between, live
 from tidemark.functions import stats
-from tidemark.operators import salary, skills as sk
+from tidemark.operators import quantiles, salary, skills as sk
 
 
 def places(jobs: DataFrame, keys: list[str], remote: Column, limit: int = 25) -> DataFrame:
@@ -52,7 +52,9 @@ def counters(jobs: DataFrame) -> DataFrame:
 
 def segments(all_live: DataFrame, jobs: DataFrame, bridge: DataFrame, remote: Column, as_of: datetime, days: int, limit: int = 15, top: int = 5, least: int = 5) -> DataFrame:
     """Per segment: count, share, remote share, median salary, growth over closed windows, top skills."""
-    base = jobs.groupBy("segment").agg(F.count("*").alias("n"), F.count_if(remote).alias("remote"), F.count(F.when(salary.observed(), F.lit(1))).alias("samples"), F.percentile(F.when(salary.observed(), F.col("salary_mid")), F.lit(0.5)).alias("median"))
+    base = jobs.groupBy("segment").agg(F.count("*").alias("n"), F.count_if(remote).alias("remote"), F.count(F.when(salary.observed(), F.lit(1))).alias("samples"))
+    median = quantiles.exact(jobs.filter(salary.observed()), ["segment"], F.col("salary_mid"), [0.5]).select(F.col("segment").alias("_segment"), F.col("q")[0].alias("median"))
+    base = base.join(median, F.col("segment").eqNullSafe(F.col("_segment")), "left").drop("_segment")
     base = base.withColumn("share", stats.share(F.col("n"), F.sum("n").over(Window.partitionBy())))
     middle, first = as_of - timedelta(days=days), as_of - timedelta(days=2 * days)
     moved = all_live.groupBy("segment").agg(F.count_if((F.col("e") >= at(middle)) & (F.col("e") <= at(as_of))).alias("a"), F.count_if((F.col("e") >= at(first)) & (F.col("e") <= at(middle))).alias("b"))
@@ -67,8 +69,9 @@ def overview(everything: DataFrame, jobs: DataFrame, remote: Column, as_of: date
     """The headline row: global counts ignore the filter, the rest obeys it."""
     day = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
     whole = everything.agg(F.count_if(live()).alias("active_jobs"), F.count("*").alias("total_jobs"), F.count_if(F.col("first_seen_at") >= at(day)).alias("new_today"), F.count_if(F.col("first_seen_at") >= at(as_of - timedelta(days=7))).alias("new_week"), F.greatest(F.lit(0.0), (F.lit(as_of).cast("timestamp").cast("double") - F.max(F.col("first_seen_at")).cast("double")) / 3600).alias("freshness_hours"))
-    scoped = jobs.agg(F.count_distinct("company_name").alias("companies"), F.count_distinct("country").alias("countries"), stats.share(F.count_if(remote), F.count("*")).alias("remote_share"), F.count(F.when(salary.observed(), F.lit(1))).alias("samples"), F.percentile(F.when(salary.observed(), F.col("salary_mid")), F.lit(0.5)).alias("median_salary"))
-    return whole.join(F.broadcast(scoped))
+    scoped = jobs.agg(F.count_distinct("company_name").alias("companies"), F.count_distinct("country").alias("countries"), stats.share(F.count_if(remote), F.count("*")).alias("remote_share"), F.count(F.when(salary.observed(), F.lit(1))).alias("samples"))
+    median = quantiles.exact(jobs.filter(salary.observed()), [], F.col("salary_mid"), [0.5]).select(F.col("q")[0].alias("median_salary"))
+    return whole.join(F.broadcast(scoped)).join(F.broadcast(median), F.lit(True), "left")  # one row each
 
 
 def fit(jobs: DataFrame, bridge: DataFrame, owned: list[str], matching: int, limit: int = 30) -> DataFrame:

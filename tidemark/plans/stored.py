@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import tables
 from tidemark.functions import text
-from tidemark.operators import dedup, tree
+from tidemark.operators import dedup, quantiles, tree
 from tidemark.operators.bandindex import BandIndex
 from tidemark.operators.textindex import TextIndex
 from tidemark.plans.star import read, typed
@@ -110,3 +110,12 @@ t AS (SELECT child AS node, child AS ancestor, 0 AS distance FROM e UNION ALL SE
 b AS (SELECT ancestor AS node, count(*) FILTER (distance > 0) AS n_below FROM t GROUP BY 1),
 v AS (SELECT t.ancestor AS node, count(*) AS total FROM p JOIN t ON p.size = t.node GROUP BY 1)
 SELECT t.node, max(distance)::BIGINT AS depth, string_agg(t.ancestor, '/' ORDER BY distance DESC) AS path, any_value(b.n_below) AS n_below, any_value(v.total) AS total FROM t JOIN b ON b.node = t.node JOIN v ON v.node = t.node GROUP BY t.node"""))
+
+
+def _quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of the price of all lines by flag and status, by rank selection."""
+    found = quantiles.exact(read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice"), [0.01, 0.5, 0.99])
+    return typed(found.select("l_returnflag", "l_linestatus", "n", *[F.col("q")[i].alias(name) for i, name in enumerate(("p01", "p50", "p99"))]))
+
+
+ENTRIES.append(("exact_quantiles", _quantiles, "SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, " + ", ".join(f"round(quantile_cont(l_extendedprice::DOUBLE, {p}), 6) AS p{name}" for p, name in ((0.01, "01"), (0.5, "50"), (0.99, "99"))) + " FROM lineitem GROUP BY 1, 2"))
