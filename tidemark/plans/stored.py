@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import tables
+from tidemark.engine import Engine
+from tidemark.filters import AnalyticsFilter
 from tidemark.functions import text
-from tidemark.operators import dedup, quantiles, tree
+from tidemark.operators import dedup, postings, quantiles, tree
 from tidemark.operators.bandindex import BandIndex
 from tidemark.operators.textindex import TextIndex
 from tidemark.plans.star import read, typed
 from tidemark.plans.texts import _TOKENS, key
+from tidemark.sources import files
 
 ENTRIES: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] = []
 
@@ -119,3 +123,45 @@ def _quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENTRIES.append(("exact_quantiles", _quantiles, "SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, " + ", ".join(f"round(quantile_cont(l_extendedprice::DOUBLE, {p}), 6) AS p{name}" for p, name in ((0.01, "01"), (0.5, "50"), (0.99, "99"))) + " FROM lineitem GROUP BY 1, 2"))
+
+
+POSTED = datetime(2024, 6, 1)
+TITLES = ("Senior Python Developer", "Data Engineer", "Backend Engineer", "Head of Engineering")
+PLACES = (("Berlin, Germany", "no"), ("Austin, TX", "no"), ("Remote", "yes"))
+
+
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as raw postings (title, place, pay and day follow from the id), through cleaning to the columnar store and back."""
+    n = F.col("doc_id")
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.pmod(n, F.lit(len(values))).cast("int"))
+    raw = read(spark, sf_dir, "documents").select(
+        F.coalesce("source", F.lit("none")).alias("source"), F.lit("dataset").alias("source_kind"), n.cast("string").alias("source_job_id"), F.concat(F.lit("https://example.com/jobs/"), n).alias("url"),
+        pick(TITLES).alias("title"), F.col("text").alias("description"), F.concat(F.lit("Firm "), F.coalesce("source", F.lit("none"))).alias("company"), pick([p for p, _ in PLACES]).alias("location"), pick([r for _, r in PLACES]).alias("remote_status"),
+        F.when(n % 5 != 0, F.concat((60 + n % 40).cast("string"), F.lit("k - "), (80 + n % 40).cast("string"), F.lit("k USD per year"))).alias("salary"), F.lit("Full-time").alias("employment_type"), F.lit(None).cast("string").alias("industry"),
+        (F.lit(POSTED).cast("timestamp") - F.make_dt_interval(days=(n % 27 * 30).cast("int"))).alias("published_at"), F.lit(POSTED).cast("timestamp").alias("collected_at"),
+    )
+    root = tables.fresh(spark, "store")
+    files.export(postings.from_raw(raw, POSTED)[0], root)
+    return files.store(spark, root)
+
+
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _postings(spark, sf_dir)
+    kept = ["title_family", "company_name", "country", "remote_type", "employment_type", "salary_min", "salary_max", "salary_currency", "salary_annual_max", "status", "year", "month", "day"]
+    return typed(found.select(F.col("source_job_id").cast("long").alias("doc_id"), *kept))
+
+
+def _overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's headline row over the store that was made from the documents."""
+    jobs, bridge = postings.stored(_postings(spark, sf_dir))
+    return typed(Engine(jobs, bridge).overview(AnalyticsFilter(as_of=POSTED, window_days=365)))
+
+
+_VALID = r"""WITH d AS (SELECT doc_id, doc_id % 3 AS place, doc_id % 5 <> 0 AS paid, 60 + doc_id % 40 AS k, coalesce(source, 'none') AS source, (TIMESTAMP '2024-06-01' - to_days((doc_id % 27 * 30)::INT)) AS posted FROM documents
+ WHERE length(trim(regexp_replace(text, '[ \t]+', ' ', 'g'))) >= 40 AND doc_id % 27 * 30 <= 730 AND NOT regexp_matches(text, '(?i)<\s*script|javascript:|vbscript:|<[a-z][^>]*\son[a-z]+\s*=')) """
+ENTRIES.append(("records_flat", _flat, _VALID + """SELECT doc_id, ['Software Engineering', 'Data Engineering', 'Backend Engineering', 'Software Engineering'][doc_id % 4 + 1] AS title_family, 'Firm ' || source AS company_name, ['Germany', 'United States', NULL][place + 1] AS country,
+ CASE WHEN place = 2 THEN 'remote' ELSE 'onsite' END AS remote_type, 'full_time' AS employment_type, CASE WHEN paid THEN k * 1000.0::DOUBLE END AS salary_min, CASE WHEN paid THEN (k + 20) * 1000.0::DOUBLE END AS salary_max, CASE WHEN paid THEN 'USD' END AS salary_currency,
+ CASE WHEN paid THEN (k + 20) * 1000.0::DOUBLE END AS salary_annual_max, 'active' AS status, year(posted) AS year, month(posted) AS month, day(posted) AS day FROM d"""))
+ENTRIES.append(("records_overview", _overview, _VALID + """, a AS (SELECT count(*) AS active_jobs, count(*) AS total_jobs, count(*) AS new_today, count(*) AS new_week, 0.0::DOUBLE AS freshness_hours FROM d),
+b AS (SELECT count(DISTINCT source) AS companies, count(DISTINCT CASE WHEN place < 2 THEN place END) AS countries, round(coalesce(count(*) FILTER (place = 2) / nullif(count(*), 0), 0), 6) AS remote_share, count(*) FILTER (paid) AS samples, round(quantile_cont(CASE WHEN paid THEN (k + 10) * 1000.0::DOUBLE END, 0.5), 6) AS median_salary
+ FROM d WHERE posted >= TIMESTAMP '2024-06-01' - INTERVAL 365 DAY) SELECT * FROM a, b"""))
