@@ -1,11 +1,13 @@
 """Costly steps over texts run once a row, in bounded memory."""
 
 import tracemalloc
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.operators import postings, records
 
 
 def plan(df):
@@ -21,6 +23,20 @@ def peak(make):
         tracemalloc.stop()
 
 
+def postings_of(spark):
+    row = ("s", "dataset", "1", "https://example.com/1", "Data Engineer", "We look for <b>one</b> who writes Python &amp; SQL, five years of it.", "Firm", "Berlin", "no", None, "Full-time", None, datetime(2024, 5, 1), datetime(2024, 6, 1))
+    raw = spark.createDataFrame([row], "source string, source_kind string, source_job_id string, url string, title string, description string, company string, location string, remote_status string, salary string, employment_type string, industry string, published_at timestamp, collected_at timestamp")
+    return postings.from_raw(raw, datetime(2024, 6, 1))[0]
+
+
+def test_records_are_cleaned_once(spark):
+    found = postings_of(spark)
+    text = plan(found)
+    assert text.count("ArrowEvalPython") == 2  # cleaning, and the text that the content hash takes
+    assert text.count("noscript") < 60
+    assert found.first()["description"] == "We look for one who writes Python & SQL, five years of it."
+
+
 def test_markup_is_stripped_once(spark):
     df = spark.createDataFrame([("a <b>x</b> &amp;lt;i&amp;gt;y",), ("Weâ€™re <p>here</p>",), ("plain: a > b",), (None,)], "t string")
     text = plan(df.select(tx.repair_mojibake(tx.strip_html(F.col("t"))).alias("c")))
@@ -28,6 +44,11 @@ def test_markup_is_stripped_once(spark):
     assert [r[0] for r in df.select(tx.repair_mojibake(tx.strip_html(F.col("t")))).collect()] == ["a x &lt;i&gt;y", "We're \nhere\n", "plain: a > b", None]
 
 
+def test_run_schemes_with_blanks_inside(spark):
+    df = spark.createDataFrame([("a j a\tva\nscript : b",), ("VBScript:x",), ("javascript is a word",), ("java: script",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(records.active(F.col("t"))).collect()] == [True, True, False, False, False, None]
+
+
 def test_texts_are_composed_in_slices():
     texts = pa.array(["ﬁ" + "e" * 2000, None, ""] * 3000)
     assert tx._composed(texts.slice(0, 3)).to_pylist() == ["fi" + "e" * 2000, None, ""]
