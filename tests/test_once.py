@@ -3,11 +3,12 @@
 import tracemalloc
 from datetime import datetime
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import postings, records
+from tidemark.operators import dedup, postings, records
 
 
 def plan(df):
@@ -54,3 +55,24 @@ def test_texts_are_composed_in_slices():
     assert tx._composed(texts.slice(0, 3)).to_pylist() == ["fi" + "e" * 2000, None, ""]
     assert tx._composed(texts.slice(0, 0)).type == pa.string()
     assert peak(lambda: tx._composed(texts)) < 5
+
+
+def test_signatures_in_bounded_memory():
+    assert peak(lambda: dedup.minima(np.arange(50_000))) < 5  # 51 MB for each array of a hash and permutation
+    texts = pa.array(["one two three four five six seven " * 9, None, "", "a"] * 500)
+    found = dedup._signatures(texts)
+    assert found.slice(0, 4).to_pylist() == [dedup.minima(dedup.shingle_hashes(v)) for v in texts.slice(0, 4).to_pylist()]
+    assert dedup._signatures(texts.slice(0, 0)).to_pylist() == []
+    a, b = dedup._coefficients()
+    hashes = np.random.default_rng(1).integers(0, dedup.PRIME, 700, endpoint=True, dtype=np.uint64)
+    assert dedup.minima(hashes) == [min((int(h) * int(x) + int(y)) % dedup.PRIME for h in hashes) for x, y in zip(a, b, strict=True)]
+
+
+def test_texts_are_signed_once(spark):
+    shared = " ".join(f"w{k}" for k in range(300))
+    docs = spark.createDataFrame([(k, f"{shared} {k % 3}") for k in range(9)], "id long, text string").groupBy("text").agg(F.min("id").alias("id"))
+    signed = docs.select("id", F.col("id").alias("ord"), dedup.signature("text").alias("sig"))
+    assert plan(signed.filter(F.size("sig") > 0)).count("ArrowEvalPython") == 1
+    near = dedup.near_pairs(signed)
+    assert "EvalPython" not in plan(near)
+    assert {(r["later"], r["earlier"]) for r in near.collect()} == {(1, 0), (2, 0), (2, 1)}
