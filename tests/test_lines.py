@@ -22,7 +22,7 @@ def test_lines_keep_their_digits(spark, given, expected):
 
 
 def test_records_of_just_enough_characters(spark, tmp_path):
-    """Descriptions of 40 characters are kept whatever they end or begin with, as the SQL has it."""
+    """Descriptions of 40 characters are kept whatever they end or begin with, as the SQL of both queries has it."""
     import duckdb
 
     body = "We look for someone who likes the sea at"
@@ -34,3 +34,5 @@ def test_records_of_just_enough_characters(spark, tmp_path):
     found = sorted((tuple(r) for r in flat.collect()), key=str)
     wanted = con.execute(f"SELECT {', '.join(flat.columns)} FROM ({registry.oracle_sql()['records_flat']})").fetchall()
     assert found == sorted(wanted, key=str) and [r[0] for r in found] == [0, 1, 2, 3, 4]
+    row = registry.queries()["records_overview"](spark, str(tmp_path))
+    assert tuple(row.first()) == con.execute(f"SELECT {', '.join(row.columns)} FROM ({registry.oracle_sql()['records_overview']})").fetchone()
